@@ -91,18 +91,18 @@ def joined_words(*cols) -> Column:
     return F.concat_ws(" ", *[blank_if_null(c) for c in cols])
 
 
-def tokens(c, stop_words=None, ngram_max: int = 1) -> Column:
-    """Lower-case tokens of two or more word characters, without stop words; then n-grams up to
-    ngram_max over what is left."""
+def tokens(c, stop_words=None) -> Column:
+    """Lower-case tokens of two or more word characters, without stop words."""
     words = F.regexp_extract_all(F.lower(blank_if_null(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    out = words
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+
+
+def with_ngrams(words: str, ngram_max: int) -> Column:
+    """The tokens of a token column followed by their n-grams. Takes a column name, not an expression,
+    so that the tokens are not computed again for every n-gram."""
+    parts, grams = [F.col(words)], F.col(words)
     for n in range(2, ngram_max + 1):
-        grams = F.when(
-            F.size(words) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                        lambda i, n=n: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        out = F.concat(out, grams)
-    return out
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count), lambda a, b: F.concat_ws(" ", a, b))
+        parts.append(grams)
+    return F.concat(*parts) if len(parts) > 1 else parts[0]

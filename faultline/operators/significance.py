@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _two_sided_binomial(only_a: int, only_b: int) -> float:
@@ -27,7 +28,7 @@ def _two_sided_binomial(only_a: int, only_b: int) -> float:
     return min(1.0, 2 * total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     return pd.Series([_two_sided_binomial(a, b) for a, b in zip(only_a, only_b)], dtype="float64")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import english_stop_words
-from ..functions.text import tokens
+from ..functions.text import tokens, with_ngrams
 
 MIN_DOCS = 2
 MAX_SHARE = 0.95
@@ -34,22 +34,27 @@ class Tokens(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        return df.withColumn(get("outputCol"), tokens(get("inputCol"), get("stopWords"), get("ngramMax")))
+        out = get("outputCol")
+        return df.withColumn(out, tokens(get("inputCol"), get("stopWords"))).withColumn(out, with_ngrams(out, get("ngramMax")))
 
 
 def term_counts(df: DataFrame, token_columns: dict[str, str]) -> DataFrame:
     """(section, term, total, docs) over all sections in one pass and one shuffle.
 
-    Each row's tokens are sorted, so the first of a run marks the document count; both sums combine
-    map-side, which also takes care of very frequent terms."""
-    def occurrences(section, column):
-        words = F.array_sort(F.col(column))
-        first = lambda i: F.when((i == 0) | (F.get(words, i - 1) != F.get(words, i)), 1).otherwise(0)
-        return F.transform(words, lambda w, i: F.struct(F.lit(section).alias("section"), w.alias("term"), first(i).alias("first")))
+    A row gives each token once for the total and each distinct token once for the document count;
+    both sums combine map-side, which also takes care of very frequent terms."""
+    def marked(section, words, first):
+        return F.transform(words, lambda w: F.struct(F.lit(section).alias("section"), w.alias("term"), F.lit(first).alias("first")))
 
-    all_terms = F.concat(*[occurrences(s, c) for s, c in token_columns.items()])
+    all_terms = F.concat(*[marked(s, words, first) for s, c in token_columns.items()
+                           for words, first in ((F.col(c), 0), (F.array_distinct(c), 1))])
     return (df.select(F.inline(all_terms)).groupBy("section", "term")
-            .agg(F.count(F.lit(1)).alias("total"), F.sum("first").alias("docs")))
+            .agg(F.sum(1 - F.col("first")).alias("total"), F.sum("first").alias("docs")))
+
+
+def section_terms(df: DataFrame, text_columns: dict[str, str], stop_words, ngram_max: int = 1) -> DataFrame:
+    words = df.select(*[tokens(c, stop_words).alias(s) for s, c in text_columns.items()])
+    return term_counts(words.select(*[with_ngrams(s, ngram_max).alias(s) for s in text_columns]), {s: s for s in text_columns})
 
 
 def top_terms(counts: DataFrame, section: str, budget: int, n_docs: int, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -84,8 +89,7 @@ def fit_section_tfidf(train: DataFrame, text_columns: dict[str, str], budgets: d
     document-frequency limits; blank texts then count as the word 'empty'."""
     stop_words = english_stop_words() if stop_words is None else stop_words
     n_docs = train.count()
-    token_frame = train.select(*[tokens(c, stop_words, ngram_max).alias(s) for s, c in text_columns.items()])
-    counts = term_counts(token_frame, {s: s for s in text_columns}).persist()
+    counts = section_terms(train, text_columns, stop_words, ngram_max).persist()
     models, sizes = {}, {}
     try:
         found = {s: top_terms(counts, s, budgets[s], n_docs).collect() for s in text_columns}

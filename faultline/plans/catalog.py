@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prediction_queries, report_queries
+from . import feature_queries, prediction_queries, report_queries, similarity_queries
 
-_MODULES = [report_queries, prediction_queries]
+_MODULES = [report_queries, feature_queries, prediction_queries, similarity_queries]
 
 
 def queries() -> dict:
@@ -12,4 +12,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for module in _MODULES for name, text in module.SQL.items()}
+    """Some texts list the stop words, so they are built on demand."""
+    return {name: text() if callable(text) else text for module in _MODULES for name, text in module.SQL.items()}

@@ -288,7 +288,7 @@ for _name in ("board_type", "sw_release", "prod_family", "alarm_category", "alar
 # ---------------------------------------------------------------- splits
 def split_sql(*columns: str) -> str:
     """CTEs up to x: supervised rows with their stratified split."""
-    return (prepared_sql(*columns) + ", x AS (SELECT *, CASE WHEN rk <= floor(0.6 * c + 0.5) THEN 'train' WHEN rk <= floor(0.8 * c + 0.5) THEN 'val' ELSE 'test' END AS split FROM "
+    return (prepared_sql(*columns) + ", x AS MATERIALIZED (SELECT *, CASE WHEN rk <= floor(0.6 * c + 0.5) THEN 'train' WHEN rk <= floor(0.8 * c + 0.5) THEN 'val' ELSE 'test' END AS split FROM "
             "(SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(report_id || '|42')) AS rk, count(*) OVER (PARTITION BY target) AS c FROM s))")
 
 

@@ -58,14 +58,8 @@ def word_count(x: str) -> str:
     return rf"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\s+'), lambda w: w <> ''))"
 
 
-def tokens(x: str, stop_words, ngram_max: int = 1) -> str:
-    words = f"regexp_extract_all({x}, '[a-z0-9_]{{2,}}')"
-    if stop_words:
-        listed = "[" + ", ".join(quote(w) for w in stop_words) + "]"
-        words = f"list_filter({words}, lambda w: NOT list_contains({listed}, w))"
-    if ngram_max == 1:
-        return words
-    return f"list_concat({words}, list_transform(range(1, greatest(len({words}), 1)), lambda i: ({words})[i] || ' ' || ({words})[i + 1]))"
+def tokens(x: str) -> str:
+    return f"regexp_extract_all({x}, '[a-z0-9_]{{2,}}')"
 
 
 def flag(x: str, name: str) -> str:
