@@ -91,10 +91,9 @@ def joined_words(*cols) -> Column:
     return F.concat_ws(" ", *[blank_if_null(c) for c in cols])
 
 
-def tokens(c, stop_words=None) -> Column:
-    """Lower-case tokens of two or more word characters, without stop words."""
-    words = F.regexp_extract_all(F.lower(blank_if_null(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+def tokens(c) -> Column:
+    """Lower-case tokens of two or more word characters."""
+    return F.regexp_extract_all(F.lower(blank_if_null(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
 def with_ngrams(words: str, ngram_max: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -51,7 +52,9 @@ class ReportColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
                  clean_text(effect_or_full("observation")).alias("text_effect_full")]
         out = df.select("*", *texts, *signals(self.getOrDefault("dashDates")),
                         priority_ordinal("priority").cast("double").alias("priority_ordinal"))
-        return out.fillna(UNKNOWN, [*raw, *CATEGORICAL_SIGNALS]).fillna(0, NUMERIC_SIGNALS)
+        # an infinite value (total routing time -1) has no scaled form and counts as missing
+        finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("waiting_ratio", "log_routing_time")}
+        return out.withColumns(finite).fillna(UNKNOWN, [*raw, *CATEGORICAL_SIGNALS]).fillna(0, NUMERIC_SIGNALS)
 
 
 class ColumnScalerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -174,8 +177,6 @@ def cumulative_texts(df: DataFrame) -> DataFrame:
 def encode_texts(df: DataFrame, text: str, encoder, output: str = "embedding") -> DataFrame:
     """Hook for a sentence encoder: `encoder` maps a list of texts to a list of float lists and runs
     inside the tasks, one Arrow batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in encoder(texts.fillna("").tolist())])

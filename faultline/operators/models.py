@@ -47,7 +47,7 @@ def fit_model(model: str, train: DataFrame, features: str, n_classes: int, confi
         return PipelineModel([fit_linear_svm(train, features, label, width(), n_classes, c, max_iter=config.svm_max_iter)])
     if model == "Logistic Regression":
         n_rows = n_rows or train.count()
-        est = LogisticRegression(family="multinomial", standardization=False, maxIter=config.logistic_max_iter,
+        est = LogisticRegression(family="multinomial", standardization=False, maxIter=config.logistic_max_iter, tol=1e-4,
                                  regParam=1.0 / (c * n_rows), elasticNetParam=1.0 if l1 else 0.0, **shape)
         if weight:
             est = est.setWeightCol(weight)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -18,6 +18,19 @@ MAX_SHARE = 0.95
 EMPTY_TEXT = "empty"
 
 
+def token_columns(df: DataFrame, texts: dict[str, str], stop_words, ngram_max: int = 1) -> DataFrame:
+    """Adds token columns {output: text column}. The stop words are a parameter of Spark's own remover,
+    so the plan does not carry hundreds of literals."""
+    raw = {out: f"_raw_{out}" for out in texts}
+    df = df.withColumns({raw[out]: tokens(text) for out, text in texts.items()})
+    if stop_words:
+        df = StopWordsRemover(inputCols=list(raw.values()), outputCols=list(raw), stopWords=stop_words, caseSensitive=True).transform(df)
+    else:
+        df = df.withColumns({out: F.col(r) for out, r in raw.items()})
+    df = df.drop(*raw.values())
+    return df.withColumns({out: with_ngrams(out, ngram_max) for out in raw}) if ngram_max > 1 else df
+
+
 class Tokens(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Token array of a text column."""
 
@@ -34,11 +47,10 @@ class Tokens(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        out = get("outputCol")
-        return df.withColumn(out, tokens(get("inputCol"), get("stopWords"))).withColumn(out, with_ngrams(out, get("ngramMax")))
+        return token_columns(df, {get("outputCol"): get("inputCol")}, get("stopWords"), get("ngramMax"))
 
 
-def term_counts(df: DataFrame, token_columns: dict[str, str]) -> DataFrame:
+def term_counts(df: DataFrame, token_cols: dict[str, str]) -> DataFrame:
     """(section, term, total, docs) over all sections in one pass and one shuffle.
 
     A row gives each token once for the total and each distinct token once for the document count;
@@ -46,15 +58,15 @@ def term_counts(df: DataFrame, token_columns: dict[str, str]) -> DataFrame:
     def marked(section, words, first):
         return F.transform(words, lambda w: F.struct(F.lit(section).alias("section"), w.alias("term"), F.lit(first).alias("first")))
 
-    all_terms = F.concat(*[marked(s, words, first) for s, c in token_columns.items()
+    all_terms = F.concat(*[marked(s, words, first) for s, c in token_cols.items()
                            for words, first in ((F.col(c), 0), (F.array_distinct(c), 1))])
     return (df.select(F.inline(all_terms)).groupBy("section", "term")
             .agg(F.sum(1 - F.col("first")).alias("total"), F.sum("first").alias("docs")))
 
 
 def section_terms(df: DataFrame, text_columns: dict[str, str], stop_words, ngram_max: int = 1) -> DataFrame:
-    words = df.select(*[tokens(c, stop_words).alias(s) for s, c in text_columns.items()])
-    return term_counts(words.select(*[with_ngrams(s, ngram_max).alias(s) for s in text_columns]), {s: s for s in text_columns})
+    names = {f"_words_{s}": c for s, c in text_columns.items()}
+    return term_counts(token_columns(df.select(*text_columns.values()), names, stop_words, ngram_max), {s: f"_words_{s}" for s in text_columns})
 
 
 def top_terms(counts: DataFrame, section: str, budget: int, n_docs: int, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -100,7 +112,7 @@ def fit_section_tfidf(train: DataFrame, text_columns: dict[str, str], budgets: d
         if not rows:
             words, grams = [], 1
             filled = F.when(F.coalesce(F.col(column), F.lit("")) == "", EMPTY_TEXT).otherwise(F.col(column))
-            plain = term_counts(train.select(tokens(filled).alias(section)), {section: section})
+            plain = section_terms(train.select(filled.alias("_text")), {section: "_text"}, [])
             rows = top_terms(plain, section, budgets[section], n_docs, 1, 1.0).collect()
             if not rows:
                 raise ValueError(f"no words at all in section {section!r}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feature_queries, prediction_queries, report_queries, similarity_queries
+from . import feature_queries, model_queries, prediction_queries, report_queries, similarity_queries
 
-_MODULES = [report_queries, feature_queries, prediction_queries, similarity_queries]
+_MODULES = [report_queries, feature_queries, prediction_queries, similarity_queries, model_queries]
 
 
 def queries() -> dict:

@@ -119,11 +119,8 @@ _RAW_SIGNALS = {**Q.SIGNALS, "log_routing_time": "ln(1 + coalesce(routing_time,
 
 
 def _signal_rows(spark, sf):
-    """Split rows with all signals. Reports with total_routing_time = -1 have an infinite ratio, which
-    no scaler can take; here they count as 0."""
-    df = ReportColumns().transform(split_rows(spark, sf, "heading", "answer", *_VIEW))
-    ratio = F.when(F.abs("waiting_ratio") == float("inf"), 0.0).otherwise(F.col("waiting_ratio"))
-    return df.withColumn("waiting_ratio", ratio)
+    """Split rows with all signals as the feature pipeline sees them."""
+    return ReportColumns().transform(split_rows(spark, sf, "heading", "answer", *_VIEW))
 
 
 _SIGNAL_CTE = (f"{split_sql(*_VIEW)}, z AS (SELECT report_id, split, {Q.priority('priority')} AS priority_ordinal, " +
@@ -149,6 +146,10 @@ def _scaled(spark, sf):
     return model.transform(rows).select("report_id", *[F.round(z[i], 6).alias(c) for i, c in enumerate(_SHOWN)])
 
 
+def _named(field: str, names):
+    return lambda i: F.struct(F.lit(field).alias("field"), F.element_at(names, i + 1).alias("category"))
+
+
 _HOT = ["superior_unit", "fault_type", "product_rstate", "improvement_type"]
 
 
@@ -162,7 +163,7 @@ def _one_hot(spark, sf):
     slots = []
     for c, labels in zip(_HOT, model.stages[0].labelsArray):
         names = F.array(*[F.lit(v) for v in labels])
-        hot = F.transform(F.unwrap_udt(f"hot_{c}")["indices"], lambda i, c=c, names=names: F.struct(F.lit(c).alias("field"), F.element_at(names, i + 1).alias("category")))
+        hot = F.transform(F.unwrap_udt(f"hot_{c}")["indices"], _named(c, names))
         slots.append(hot)
     return model.transform(rows).select("report_id", F.inline(F.concat(*slots)))
 

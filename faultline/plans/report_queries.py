@@ -10,7 +10,7 @@ from ..operators import prepare as P
 from ..operators import profile as R
 from ..operators import splits as L
 from . import sql as Q
-from .report_view import REPORT_COLUMNS, reports, reports_sql
+from .report_view import REPORT_COLUMNS, reports, reports_sql, table
 
 QUERIES, SQL = {}, {}
 MIN_SAMPLES = 20          # the benchmark classes are small; the default of the library is 100
@@ -263,7 +263,7 @@ def _describe(spark, sf):
 def _describe_lineitem(spark, sf):
     """The same profile on the largest table."""
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return _rounded(R.describe(spark.read.parquet(f"{sf}/lineitem.parquet").select(*columns), columns))
+    return _rounded(R.describe(table(spark, sf, "lineitem").select(*columns), columns))
 
 
 _DESCRIBED = ["num_duplicates", "rstate_major", "hour_of_day", "log_routing_time"]

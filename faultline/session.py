@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,18 @@ def build_session(app: str = "faultline", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the tasks this package, for sessions that were not started with it on their path. On a
+    cluster, `spark-submit --py-files` does the same."""
+    sc = spark.sparkContext
+    if getattr(sc, "_faultline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="faultline-code-")) / "faultline"), "zip", root, "faultline")
+    sc.addPyFile(archive)
+    sc._faultline_shipped = True
+
+
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
