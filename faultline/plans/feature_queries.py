@@ -71,6 +71,7 @@ def _vocabulary(spark, sf):
     train = checkpoint(section_texts(split_rows(spark, sf, *_TEXT_INPUTS)).filter("split = 'train'").select(*SECTIONS))
     n_docs, budgets = train.count(), BALANCED.section_budgets()
     counts = section_terms(train, {s: s for s in SECTIONS}, english_stop_words(), BALANCED.budgets["ngram_max"])
+    counts = checkpoint(counts)                 # one top-k per section reads it
     out = None
     for s in SECTIONS:
         top = top_terms(counts, s, budgets[s], n_docs)

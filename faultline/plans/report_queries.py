@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import prepare as P
 from ..operators import profile as R
 from ..operators import splits as L
+from ..session import checkpoint
 from . import sql as Q
 from .report_view import REPORT_COLUMNS, reports, reports_sql, table
 
@@ -293,7 +294,8 @@ def split_sql(*columns: str) -> str:
 
 
 def split_rows(spark, sf, *columns: str):
-    return L.stratified_split(prepared(spark, sf, *columns))
+    """The split reads the supervised rows several times, so they are written once."""
+    return L.stratified_split(checkpoint(prepared(spark, sf, *columns)))
 
 
 @query("stratified_split", f"WITH {split_sql()} SELECT report_id, target, split FROM x")
@@ -304,7 +306,7 @@ def _stratified(spark, sf):
 @query("temporal_split", f"""WITH {prepared_sql('registered')}, o AS (SELECT report_id, registered, row_number() OVER (ORDER BY {Q.parsed_time('registered')} NULLS LAST, md5(report_id || '|42')) AS rk, count(*) OVER () AS c FROM s)
        SELECT report_id, registered, CASE WHEN rk <= floor(c * 0.6 + 1e-9) THEN 'train' WHEN rk <= floor(c * 0.8 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM o""")
 def _temporal(spark, sf):
-    return L.temporal_split(prepared(spark, sf, "registered")).select("report_id", "registered", "split")
+    return L.temporal_split(checkpoint(prepared(spark, sf, "registered"))).select("report_id", "registered", "split")
 
 
 _CONTRACT = ["superior_unit", "fault_type", "priority", "product_rstate"]

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # What an event or product tells in words, so that flags, boards and alarm rules have something to find.
 EVENT_PHRASES = {
     "error": "Cell disabled alarm, core dump after program restart.",
@@ -118,6 +120,8 @@ def reports(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The given report columns (all by default) of every document."""
     wanted = list(columns or SPARK_COLUMNS)
     df = table(spark, sf_dir, "documents")
+    if set(wanted) & {"observation", "answer"}:
+        df = spread(df)
     for name in _needed(wanted):
         key = SOURCES[name]
         other = table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), *_SOURCE_COLUMNS[name])

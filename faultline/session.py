@@ -40,6 +40,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._faultline_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Evens out a scan that has fewer partitions than the session has cores, before CPU-heavy text
+    work. A large table has more files than that and is left alone, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
