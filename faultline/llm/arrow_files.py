@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import _shared_folder, checkpoint
 from .common import map_batches, prepare, whole_text
-from .tokens import DEFAULT_FILE, END_ID, WordEncoder, as_uint32, id_bytes, load, tokenizer_path
+from .tokens import DEFAULT_FILE, END_ID, id_bytes, load, tokenizer_path, worker_encoder
 
 SEQUENCE, BATCH_ROWS = 2048, 256
 MANIFEST = "part long, n_docs long, n_tokens long, data_file string, index_file string"
@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str | None = None, size: int = SEQUENCE, toke
         fs.create_dir(root, recursive=True)
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        cache, writer, n_docs = WordEncoder(path, as_uint32), None, 0
+        cache, writer, n_docs = worker_encoder(path), None, 0
         index_schema = pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
             if writer is None:

@@ -249,11 +249,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """The input rows of which one per component stays, that of the least doc_id; empty sets all stay. Of rows repeated with
     that doc_id one stays."""
     found = components(docs, key, text).filter("kept")
-    once = found.filter("n_shingles > 0").dropDuplicates(["component_id"]).union(found.filter("n_shingles = 0")).select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    once = found.filter("n_shingles > 0").dropDuplicates(["component_id"]).union(found.filter("n_shingles = 0"))
+    kept = checkpoint(once.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.lit(True).alias("stays")))
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = source.withColumn("th", F.xxhash64(whole_text(f"row.`{text}`"))).join(checkpoint(once), F.col(f"row.`{key}`").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
-    repeated = rows.groupBy(F.col(f"row.`{key}`").alias("d"), "th").agg(F.first("row").alias("row"))
-    return repeated.select("row.*")
+    rows = source.withColumn("d", F.col(f"row.`{key}`")).withColumn("t", F.xxhash64(whole_text(f"row.`{text}`")))
+    same = rows["d"].eqNullSafe(kept["d"]) & (rows["t"] == kept["t"])
+    repeats = checkpoint(found.filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t")))
+    if _empty(repeats):
+        return rows.join(kept, same, "left_semi").select("row.*")
+    is_repeat = rows["d"].eqNullSafe(repeats["d"]) & (rows["t"] == repeats["t"])
+    single = rows.join(repeats, is_repeat, "left_anti").join(kept, same, "left_semi").select("row")
+    several = rows.join(repeats, is_repeat, "left_semi").join(kept, same, "left_semi").dropDuplicates(["d", "t"]).select("row")
+    return single.union(several).select("row.*")
 
 
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

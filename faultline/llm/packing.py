@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .common import map_batches, prepare, whole_text
-from .tokens import DEFAULT_FILE, END_ID, WordEncoder, as_uint32, crc, id_bytes, tokenizer_path
+from .tokens import DEFAULT_FILE, END_ID, crc, id_bytes, tokenizer_path, worker_encoder
 
 SEQUENCE = 2048
 #: Rows that one (length, bucket) group is planned for.
@@ -32,7 +32,7 @@ def pieces_of(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = DEFAULT_FI
     path, kind = tokenizer_path(tokenizer), docs.schema[key].dataType.simpleString()
 
     def cut(batches):
-        cache = WordEncoder(path, as_uint32)
+        cache = worker_encoder(path)
         for batch in batches:
             out = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for doc, data in zip(batch["doc_id"], batch["text"]):

@@ -9,6 +9,8 @@ ignored; an empty table gives an empty result; words longer than WORD_BYTES neve
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -57,6 +59,24 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = TABLE_WORDS
     return sorted(item["item"].encode() for item in row["top"]) if row and row["top"] else []
 
 
+class WordCounts(WordEncoder):
+    """word -> token count: the broadcast table first, then this worker's own encoding."""
+
+    tier_one: LengthTable
+
+    def __init__(self, path: str):
+        super().__init__(path, len)
+
+    def encode_word(self, word: bytes):
+        known = self.tier_one.get(word)
+        return range(known) if known >= 0 else super().encode_word(word)
+
+
+@functools.lru_cache(maxsize=2)
+def _worker_counts(path: str) -> WordCounts:
+    return WordCounts(path)
+
+
 def by_word(path: str) -> bool:
     """Whether this tokenizer's ids are those of its words in turn: white space is dropped and nothing joins across it."""
     if path.endswith(".model"):
@@ -92,14 +112,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     def count(batches):
         if exact_words:
-            tier_one, cache = table.value, WordEncoder(path, len)
-            encode = cache.encode_word
-
-            def first_sight(word: bytes) -> list:
-                known = tier_one.get(word)
-                return range(known) if known >= 0 else encode(word)
-
-            cache.encode_word = first_sight
+            cache = _worker_counts(path)
+            cache.tier_one = table.value
 
             def tokens_of(data: bytes) -> int:
                 cache.trim()

@@ -9,11 +9,10 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
-import numpy as np
-
 DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Letters that lower-casing, composition and the splitter treat alike everywhere, then marks that form one pre-token.
@@ -39,30 +38,41 @@ def load(path: str):
     return tokenizer
 
 
+def byte_symbols() -> dict[int, str]:
+    """The byte-level alphabet as a translation: printable Latin-1 stays, other bytes take the code points from 256 on."""
+    stays = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in stays)}
+
+
 class WordEncoder(dict):
-    """word (UTF-8 bytes) -> `make`(ids). Call `trim` between documents: at most `limit` words stay, whatever the corpus."""
+    """word (UTF-8 bytes) -> `make`(ids). Call `trim` between documents: two generations of at most `limit` words stay, so
+    that words in use survive and memory is bounded whatever the corpus."""
 
-    def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = 300_000):
+    def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = 250_000):
         super().__init__()
         self.tokenizer, self.make, self.limit = load(path), make, limit
+        self.older: dict[bytes, object] = {}
         self.parts: dict[str, list[int]] = {}
+        self.symbols = byte_symbols()
         self.fast = self._is_word_bpe()
 
     def _is_word_bpe(self) -> bool:
-        """Whether a lower-cased Latin word and the marks after it are separate pre-tokens here, as in the word-end file."""
-        probe = "aé"
-        if self.tokenizer.normalizer is None or self.tokenizer.pre_tokenizer is None or self.tokenizer.normalizer.normalize_str("AÉ") != probe:
+        """Whether a lower-cased Latin word and the marks after it are separate byte-level pre-tokens here."""
+        t = self.tokenizer
+        if t.normalizer is None or t.pre_tokenizer is None or t.post_processor is not None or t.normalizer.normalize_str("AÉ") != "aé":
             return False
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("ab.,#")] == ["ab", ".,#"]
+        split = [p for p, _ in t.pre_tokenizer.pre_tokenize_str("ab.,#")] == ["ab", ".,#"]
+        return split and self._merged("éüñ") == t.encode("éüñ", add_special_tokens=False).ids
+
+    def _merged(self, text: str) -> list[int]:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def _part(self, text: str) -> list[int]:
         ids = self.parts.get(text)
         if ids is None:
-            if text.isascii():
-                ids = [t.id for t in self.tokenizer.model.tokenize(text)]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            self.parts[text] = ids
+            ids = self.parts[text] = self._merged(text)
         return ids
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -73,18 +83,28 @@ class WordEncoder(dict):
         return self._part(simple[1]) + self._part(simple[2]) if simple[2] else self._part(simple[1])
 
     def __missing__(self, word: bytes):
-        value = self[word] = self.make(self.encode_word(word))
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(self.encode_word(word))
+        self[word] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
         if len(self.parts) > self.limit:
             self.parts.clear()
 
 
 def as_uint32(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str) -> WordEncoder:
+    """A worker's encoder to little-endian ids; it outlives the task."""
+    return WordEncoder(path, as_uint32)
 
 
 def id_bytes(cache: WordEncoder, text: bytes, end: int = END_ID) -> bytes:
