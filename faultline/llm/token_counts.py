@@ -54,7 +54,8 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = TABLE_WORDS
     """The words that the merged sketches report as most frequent, over all documents; at most `words`, sorted."""
     tokens = docs.select(F.explode(F.split(whole_text(text), r"[\x20\x09-\x0D]+")).alias("word")).filter(f"word <> '' and octet_length(word) <= {WORD_BYTES}")
     by_task = tokens.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {TRACKED})").alias("sketch"))
-    merged = by_task.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {words})").alias("top"))
+    # Grouped by a constant, as a task without rows must not send an empty sketch to the merge.
+    merged = by_task.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {words})").alias("top"))
     row = merged.first()
     return sorted(item["item"].encode() for item in row["top"]) if row and row["top"] else []
 
