@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import arrow_files, line_dedup, near_dedup, packing, secret_scan, token_counts, transducer
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -17,11 +17,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_near_dedup", near_dedup.SQL)
+def _near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op3_packing")
 def _packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query("op4_token_files")
+def _token_files(spark, sf_dir):
+    return arrow_files.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query("op5_bpe")
+def _bpe(spark, sf_dir):
+    return transducer.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op8_secrets")
+def _secrets(spark, sf_dir):
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup", line_dedup.SQL)
+def _line_dedup(spark, sf_dir):
+    return line_dedup.cleaned(read(spark, sf_dir, "documents"))
+
+
 @query("op10_token_counts")
 def _token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
