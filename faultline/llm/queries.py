@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import arrow_files, line_dedup, near_dedup, packing, secret_scan, token_counts, transducer
+from pyspark.sql import functions as F
+
+from . import arrow_files, impact_index, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, transducer
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -37,6 +39,16 @@ def _bpe(spark, sf_dir):
     return transducer.digests(read(spark, sf_dir, "documents"))
 
 
+@query("op6_quality")
+def _quality(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents")).drop("level")
+
+
+@query("op7_top_k", impact_index.SQL)
+def _top_k(spark, sf_dir):
+    return impact_index.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op8_secrets")
 def _secrets(spark, sf_dir):
     return secret_scan.scan(read(spark, sf_dir, "documents"))
