@@ -12,7 +12,7 @@ from ..session import checkpoint
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = checkpoint(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))))
+    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
     least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 

@@ -2,9 +2,9 @@
 
 A document is its set of distinct shingles of five words; equal sets are one class. Trees branch classes by minwise tokens:
 the nodes of level one are the values of one minwise token, another for each tree. A node of at most LIMIT classes is a leaf
-and is compared exhaustively. A larger node is first compared with its pivot, then branches by BRANCHES further tokens that
-its path selects; children whose classes are all linked to one pivot need no further work, so a group of near copies that holds
-a third of all rows costs one comparison per class rather than one per pair. Two sets of similarity J stay together at level
+and is compared exhaustively. All members of a larger node are compared with its PIVOTS, which then leave it; the rest branches
+by BRANCHES further tokens that the path selects. Nodes whose classes already belong to one component need no further work, so
+a group of near copies that holds a third of all rows costs a few comparisons per class rather than one per pair. Two sets of similarity J stay together at level
 one with probability J per tree, and from there with at least 0.88 at J = 0.75 however deep the node is (two tokens: f = 1 - (1 - J f)^2);
 TREES = 10 independent trees miss a link at the threshold with probability below 2e-5, and less above it.
 
@@ -27,7 +27,9 @@ from .common import map_batches, prepare, whole_text
 from .components import connected
 
 SHINGLE, PERCENT = 5, 75
-TREES, TOKENS, BRANCHES, LIMIT = 10, 48, 2, 64
+TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 2048, 8
+#: A leaf's sets together hold at most so many shingles (32 MB), however long its documents are.
+LEAF_SHINGLES = 4_000_000
 #: Levels that branch twice; deeper ones branch once, so that a class has at most 2 ** 4 rows a tree.
 DOUBLE_LEVELS = 4
 #: Least number of equal minwise tokens: five deviations under the mean at the threshold.
@@ -90,14 +92,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows (node, id, label) of nodes that still hold classes not known to be linked, with the node's size."""
-    sizes = checkpoint(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 1 and low <> high").select("node", "n"))
+    """Rows (node, id, label, w) of nodes that still hold classes not known to be linked, and whether the node is a leaf; w is
+    the size of the class's set."""
+    sizes = checkpoint(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("w").alias("held")).filter("n > 1 and low <> high")
+                       .select("node", F.expr(f"n <= {LIMIT} and held <= {LEAF_SHINGLES}").alias("leaf")))
     return checkpoint(rows.join(sizes, "node"))
 
 
 def _roots(classes: DataFrame) -> DataFrame:
     tokens = [F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in range(TREES)]
-    return classes.select("id", F.explode(F.array(*tokens)).alias("node"), F.col("id").alias("label"))
+    return classes.select("id", F.explode(F.array(*tokens)).alias("node"), F.col("id").alias("label"), F.col("n_shingles").alias("w"))
 
 
 def _children(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
@@ -108,7 +112,7 @@ def _children(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
         place = F.lit(TREES) + F.pmod(F.xxhash64("node", F.lit(f"branch {i}")), F.lit(TOKENS - TREES))
         return F.xxhash64("node", place, F.element_at("tokens", (place + 1).cast("int")))
 
-    return rows.join(classes.select("id", "tokens"), "id").select("id", "label", F.explode(F.array_distinct(F.array(*[child(i) for i in range(branches)]))).alias("node"))
+    return rows.join(classes.select("id", "tokens"), "id").select("id", "label", "w", F.explode(F.array_distinct(F.array(*[child(i) for i in range(branches)]))).alias("node"))
 
 
 def _equal(a: str, b: str):
@@ -125,36 +129,63 @@ def _leaf_groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
             out = {"members": []}
             for rows in batch["rows"]:
                 ids, tokens = np.array([r["id"] for r in rows]), np.array([r["tokens"] for r in rows])
-                part = list(range(len(ids)))
+                part = np.arange(len(ids))
                 for i in range(1, len(ids)):
-                    for j in np.flatnonzero((tokens[:i] == tokens[i]).sum(1) >= LEAST_EQUAL).tolist():
-                        low, high = sorted((part[i], part[j]))
-                        part = [low if p == high else p for p in part]
-                for p in set(part):
-                    if part.count(p) > 1:
-                        out["members"].append(sorted(ids[[k for k, q in enumerate(part) if q == p]].tolist()))
+                    met = np.unique(part[:i][(tokens[:i] == tokens[i]).sum(1) >= LEAST_EQUAL])
+                    if len(met):
+                        part[i] = met[0]
+                        if len(met) > 1:
+                            part[np.isin(part, met)] = met[0]
+                names, sizes = np.unique(part, return_counts=True)
+                out["members"] += [np.sort(ids[part == name]).tolist() for name in names[sizes > 1]]
             yield out
 
     gathered = held.groupBy("group").agg(F.collect_list(F.struct("id", "tokens")).alias("rows")).select("rows")
     return map_batches(gathered, connect, "members array<long>").withColumn("group", F.xxhash64("members")).dropDuplicates(["group", "members"])
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact intersection sizes of all pairs of sets: shingles that many sets hold as a product of 0/1 columns, others one by one."""
+    n = len(sets)
+    shingles, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(n), [len(s) for s in sets])
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    member, ends = member[order], np.cumsum(held)
+    often = np.flatnonzero(held > max(1, n // 10))
+    for at in range(0, len(often), 4096):
+        part = often[at:at + 4096]
+        block = np.zeros((n, len(part)), np.float32)
+        for i, c in enumerate(part.tolist()):
+            block[member[ends[c] - held[c]:ends[c]], i] = 1
+        common += block @ block.T
+    for c in np.flatnonzero((held > 1) & (held <= max(1, n // 10))).tolist():
+        own = member[ends[c] - held[c]:ends[c]]
+        common[np.ix_(own, own)] += 1
+    return common
+
+
 def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect each group as far as exact similarity does; pairs already connected are not compared."""
+    """Links from each member to the first of its component within the group; every pair of a group is compared exactly."""
 
     def link(batches):
         for batch in batches:
             out = {"u": [], "v": []}
             for rows in batch["rows"]:
                 ids, shingles = [r["id"] for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                part = list(range(len(ids)))
+                size, common = np.array([len(s) for s in shingles], np.float64), common_counts(shingles).astype(np.float64)
+                near = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+                part = np.arange(len(ids))
                 for i in range(1, len(ids)):
-                    for j in range(i):
-                        if part[i] != part[j] and similar(shingles[i], shingles[j]):
-                            out["u"].append(ids[i])
-                            out["v"].append(ids[j])
-                            low, high = sorted((part[i], part[j]))
-                            part = [low if p == high else p for p in part]
+                    met = np.unique(part[:i][near[i, :i]])
+                    if len(met):
+                        part[i] = met[0]
+                        if len(met) > 1:
+                            part[np.isin(part, met)] = met[0]
+                for i, p in enumerate(part.tolist()):
+                    if i != p:
+                        out["u"].append(ids[i])
+                        out["v"].append(ids[p])
             yield out
 
     rows = groups.withColumn("g", F.xxhash64("members", F.lit("g"))).select("g", F.explode("members").alias("id")).join(sets, "id")
@@ -187,40 +218,46 @@ def _empty(df: DataFrame) -> bool:
     return not df.head(1)
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v) links between class ids that connect all classes of similar sets."""
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Stars (node, root) of the components so far and new links."""
+    if known is not None:
+        links = links.union(known.select("node", "root"))
+    return checkpoint(connected(links))
+
+
+def _relabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (node, id, w) with their component so far as label."""
+    return rows.select("node", "id", "w").join(known.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "id", "w", F.coalesce("root", "id").alias("label"))
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """Up to PIVOTS members of each node, the least of each slot in a fixed random order."""
+    least = F.min(F.struct(F.xxhash64("id").alias("by"), F.col("id"), F.col("label"))).alias("least")
+    return rows.groupBy("node", F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(PIVOTS)).alias("slot")).agg(least).select("node", F.col("least.id").alias("pivot"), F.col("least.label").alias("of"))
+
+
+def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root): the component of every class that is linked to another one, named by its least class id."""
     level = _sized(_roots(classes))
-    leaves, large = level.filter(f"n <= {LIMIT}"), level.filter(f"n > {LIMIT}")
-    groups = [checkpoint(_leaf_groups(leaves, classes))]
-    sets = checkpoint(_sets(docs, classes, groups[0].select(F.explode("members").alias("id")).union(large.select("id"))))
-    links, tested, depth = [], None, 0
-    while not _empty(large):
-        order = F.struct(F.xxhash64("id").alias("by"), F.col("id"))
-        pivots = checkpoint(large.groupBy("node").agg(F.min(order)["id"].alias("pivot")))
-        rows = checkpoint(large.join(pivots, "node").filter("id <> pivot"))
-        pairs = rows.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = checkpoint(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+    sets = known = None
+    depth = 0
+    while True:
+        leaves, large = level.filter("leaf"), level.filter("not leaf")
+        groups = checkpoint(_leaf_groups(leaves, classes))
+        if sets is None:  # deeper levels hold no other classes
+            sets = checkpoint(_sets(docs, classes, groups.select(F.explode("members").alias("id")).union(large.select("id"))))
+        known = _joined(known, _group_links(groups, sets))
+        if _empty(large):
+            return known
+        rows = _sized(_relabelled(large, known))
+        pivots = checkpoint(_pivots(rows))
+        met = rows.join(pivots, "node").filter("label <> of")
+        pairs = checkpoint(met.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct())
         near = pairs.join(classes.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u").join(classes.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v")
-        links.append(checkpoint(_pair_links(near.filter(_equal("a", "b") >= LEAST_EQUAL).select("u", "v"), sets)))
-        known = links[0]
-        for more in links[1:]:
-            known = known.union(more)
-        labels = checkpoint(known.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("own")))
-        labelled = rows.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("own", "id").alias("label"))
-        level = _sized(_children(labelled, classes, depth))
-        leaves, large = level.filter(f"n <= {LIMIT}"), level.filter(f"n > {LIMIT}")
-        groups.append(checkpoint(_leaf_groups(leaves, classes)))
+        known = _joined(known, _pair_links(near.filter(_equal("a", "b") >= LEAST_EQUAL).select("u", "v"), sets))
+        rest = rows.join(pivots.select("node", F.col("pivot").alias("id")), ["node", "id"], "left_anti")
+        level = _sized(_children(_relabelled(rest, known), classes, depth))
         depth += 1
-    every = groups[0]
-    for more in groups[1:]:
-        every = every.union(more)
-    found = _group_links(every.select("members").distinct(), sets)
-    for more in links:
-        found = found.union(more)
-    return found
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,8 +266,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     own = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = checkpoint(signatures(own.select("doc_id", "th", "text")))
     full = signed.filter("class is not null")
-    classes = checkpoint(full.select("class", "doc_id", "th", "tokens").dropDuplicates(["class"]).withColumn("id", F.monotonically_increasing_id()))
-    roots = checkpoint(connected(class_links(own, classes)))
+    classes = checkpoint(full.select("class", "doc_id", "th", "tokens", "n_shingles").dropDuplicates(["class"]).withColumn("id", F.monotonically_increasing_id()))
+    roots = class_components(own, classes)
     least = full.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = checkpoint(classes.select("class", "id").join(least, "class").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     lowest = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
