@@ -139,7 +139,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     own = source.select("row", F.col(f"row.`{key}`").alias("doc_id"), whole_text(f"row.`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
     gone = checkpoint(repeated_lines(own.select("doc_id", "th", "text"), min_words)).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["d"]) & (own["th"] == gone["t"]), "left")
+    # The deletions grow with the corpus, so this join shuffles at every size; it never turns into a broadcast.
+    joined = own.join(gone.hint("merge"), own["doc_id"].eqNullSafe(gone["d"]) & (own["th"] == gone["t"]), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.element_at(lines, i + 1)), "\n")
     return joined.select("row", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
