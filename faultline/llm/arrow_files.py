@@ -169,7 +169,7 @@ def read_back(spark: SparkSession, manifest: DataFrame, key: str = "doc_id", kin
                         crcs = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(part["start"], part["n_tokens"])]
                         yield {"doc_id": part["doc_id"], "start": [base + s for s in part["start"]], "n_tokens": part["n_tokens"], "ids_crc32": crcs}
 
-    spread = manifest.repartition(F.col("data_file"))
+    spread = manifest.repartition(max(1, manifest.count()), "data_file")  # a given number, as these few rows stand for much work
     return map_batches(spread, digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", key)
 
 
