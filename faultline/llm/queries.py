@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import arrow_files, impact_index, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, transducer
+from . import arrow_files, impact_index, line_dedup, near_dedup, packing, preference, quality, secret_scan, token_counts, transducer
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -24,6 +24,9 @@ def _near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+query("op2_preference", preference.SQL)(preference.preferences)
+
+
 @query("op3_packing")
 def _packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))

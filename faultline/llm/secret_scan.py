@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,8 +195,6 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with secrets replaced; a null text stays null."""
     prepare(docs.sparkSession)
-    import pandas as pd
-
     @F.pandas_udf("string")
     def replace(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redacted(t))
