@@ -3,7 +3,7 @@
 The corpus' frequent words are compiled, with their ids as outputs, into an automaton that shares prefixes and suffixes. Each
 state knows how many words it accepts, so the sum of the counts skipped on the way is a word's number, and numbers index one
 flat array of ids. The automaton is a handful of arrays in one file of the shared folder, memory-mapped by the workers.
-Words it does not hold are split and merged by rank, exactly as the tokenizer file says.
+Words it does not hold are merged by rank, each once, with the merge table of the tokenizer file.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); null and repeated doc_ids keep their rows; an empty
 table gives an empty lexicon and an empty result; extra columns are ignored; words over WORD_BYTES are never compiled."""
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import io
 import json
 import mmap
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import _shared_folder
 from .arrow_files import _open
 from .common import map_batches, prepare, whole_text
-from .tokens import DEFAULT_FILE, load, tokenizer_path
+from .tokens import DEFAULT_FILE, WordEncoder, as_uint32, tokenizer_path
 
 #: The lexicon's bounds: words, and bytes of a word.
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
@@ -168,63 +167,26 @@ class Lexicon:
         return cls({k: np.frombuffer(data, t, n, 8 + size + at) if n else np.zeros(0, t) for k, (at, t, n) in head.items()})
 
 
-class Merger:
-    """Splits and merges unseen words by rank: normaliser and splitter come from the tokenizer file, the merging is here."""
-
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
-        model = json.loads(self.tokenizer.to_str())["model"]
-        self.plain = model["type"] == "BPE" and not (model["dropout"] or model["byte_fallback"] or model["ignore_merges"] or model["continuing_subword_prefix"] or model["fuse_unk"] or model["unk_token"])
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank, self.vocab, self.suffix = {p: i for i, p in enumerate(pairs)}, model["vocab"], model["end_of_word_suffix"] or ""
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def merge(self, piece: str) -> list[int]:
-        """The lowest-ranked pair merges first, the leftmost of equals; a heap over linked symbols keeps long runs n log n."""
-        symbols: list[str | None] = [*piece[:-1], piece[-1] + self.suffix]
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.rank.get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i] if symbols[i] == a else -1
-            if j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = a + b, None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (r := self.rank.get((symbols[x], symbols[y]))) is not None:
-                    heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
-        return [self.vocab[s] for s in symbols if s is not None and s in self.vocab]
-
-    def encode(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if not self.plain or any(t in text for t in self.added):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        seen = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
-        return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(seen) for i in self.merge(piece)]
-
-
 class Codec:
-    """Encodes and decodes whole texts; keeps the words of a bounded number of texts at hand."""
+    """Encodes and decodes whole texts. Words seen lately stay at hand, in two generations of at most `limit`."""
 
-    def __init__(self, lexicon: Lexicon, path: str, limit: int = 300_000):
-        self.lexicon, self.merger, self.limit, self.known = lexicon, Merger(path), limit, {}
-        self.tokens = [self.merger.tokenizer.id_to_token(i) or "" for i in range(self.merger.tokenizer.get_vocab_size())]
-        if self.merger.tokenizer.decoder is not None:
-            self.tokens = None
+    def __init__(self, lexicon: Lexicon, path: str, limit: int = 250_000):
+        self.lexicon, self.merger, self.limit, self.known, self.older = lexicon, WordEncoder(path, as_uint32), limit, {}, {}
+        tokenizer = self.merger.tokenizer
+        self.tokens = None if tokenizer.decoder is not None else [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.older, self.known = self.known, {}
+        self.merger.trim()
         split = [t.split() for t in texts]
         new = list(set().union(*split) - self.known.keys())
-        for word, number in zip(new, self.lexicon.numbers(new).tolist()):
-            self.known[word] = self.lexicon.ids(number).tobytes() if number >= 0 else np.asarray(self.merger.encode(word), np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in split]
+        met = [w for w in new if w not in self.older]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        for word, number in zip(met, self.lexicon.numbers(met).tolist()):
+            # The automaton's output, or the word's own merges by rank.
+            self.known[word] = self.lexicon.ids(number).tobytes() if number >= 0 else as_uint32(self.merger.encode_word(word))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode with special tokens kept; without a decoder it joins the tokens with spaces."""
@@ -254,8 +216,8 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WOR
 
 def build_lexicon(docs: DataFrame, tokenizer: str = DEFAULT_FILE, text: str = "text", words: int = LEXICON_WORDS) -> tuple[str, str]:
     """Compiles the lexicon into a file of the shared folder: (folder, name). At most `words` words reach the driver."""
-    merger = Merger(tokenizer_path(tokenizer))
-    lexicon = Lexicon.compile({w: merger.encode(w) for w in frequent_words(docs, text, words)})
+    merger = WordEncoder(tokenizer_path(tokenizer), as_uint32)
+    lexicon = Lexicon.compile({w: merger.encode_word(w) for w in frequent_words(docs, text, words)})
     folder, name = _shared_folder(docs.sparkSession), f"lexicon-{uuid.uuid4().hex}.bin"
     lexicon.save(folder, name)
     return folder, name
