@@ -10,7 +10,8 @@ The stated queries meet all vectors, block against block; each pair of blocks gi
 
 Defined cases: vectors that are null, or hold null or non-finite components, or have no id, take no part; rows of one id count
 as one, the least vector of them; vectors are compared with those of their own length; fewer than k others give fewer rows;
-equal scores are ordered by id; extra columns are ignored; an empty table gives an empty result."""
+equal scores are ordered by id; a score beyond 64 bits is an error; extra columns are ignored; an empty table gives an empty
+result."""
 
 from __future__ import annotations
 
