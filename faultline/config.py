@@ -76,7 +76,9 @@ class RunConfig:
     drop_rare: bool = False
     categorical_columns: tuple = ("superior_unit", "fault_type")
     logistic_max_iter: int = 1000
-    svm_max_iter: int = 2000
+    svm_max_iter: int = 3000
+    svm_tolerance: float = 1e-4          # a fit stops when its gradient norm fell to this share of the first one
+    forest_depth: int = 30               # the deepest that Spark grows a tree
     c: float = 1.0
     max_features: int | None = None      # None: taken from the run mode
     slow_models: bool | None = None      # None: taken from the run mode

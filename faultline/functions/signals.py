@@ -83,13 +83,18 @@ def first_match(text, pattern: str, default: str = UNKNOWN) -> Column:
     return F.when(found == "", F.lit(default)).otherwise(found)
 
 
+# Date forms accepted beside the ISO ones, tried in this order.
+DATE_FORMS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy")
+
+
 def parse_time(c, dash_form: bool = True) -> Column:
     """Wall-clock timestamp, null where the text is no date. The form 'date - time' is accepted
     unless dash_form is off."""
     text = _col(c).cast("string")
     if dash_form:
         text = F.replace(text, F.lit(" - "), F.lit(" "))
-    return text.try_cast("timestamp_ntz")
+    tries = [F.try_to_timestamp(text, F.lit(form)).try_cast("timestamp_ntz") for form in DATE_FORMS]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *tries)
 
 
 def number_or_zero(c) -> Column:
@@ -111,7 +116,9 @@ def log_time(c) -> Column:
 
 
 def is_true(c) -> Column:
-    return F.coalesce(_col(c).try_cast("boolean"), F.lit(False)).cast("int")
+    """1 for the value true, and for its text as exports spell it; other texts that a cast would accept (`yes`, `y`) are 0."""
+    text = F.lower(F.trim(_col(c).cast("string")))
+    return F.coalesce(text.isin("true", "1"), F.lit(False)).cast("int")
 
 
 def duplicate_id_count(c) -> Column:

@@ -99,3 +99,8 @@ def final_comparison(*tables: DataFrame) -> DataFrame:
     for table in tables[1:]:
         out = out.unionByName(table, allowMissingColumns=True)
     return out.orderBy(F.desc_nulls_last("val_accuracy"), "name")
+
+
+def round_numbers(df: DataFrame, digits: int) -> DataFrame:
+    """All double columns rounded, for printing."""
+    return df.withColumns({name: F.round(name, digits) for name, kind in df.dtypes if kind == "double"})

@@ -9,13 +9,14 @@ import time
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from .evaluation import metrics
 from .features import UNKNOWN_LABEL, feature_column
+from .joint_softmax import fit_softmax
 from .linear_svm import LinearSVMModel, Problem, expand_binary, fit_linear_svm, fit_problems, one_vs_rest, score_margins, training_rows
 
 TEXT, ALL = "TF-IDF only", "TF-IDF + All"
@@ -38,23 +39,19 @@ def matrix_min(df: DataFrame, vector: str) -> float:
 
 
 def fit_model(model: str, train: DataFrame, features: str, n_classes: int, config: RunConfig = RunConfig(), label: str = "label_index",
-              c: float | None = None, l1: bool = False, weight: str | None = None, n_rows: int | None = None) -> PipelineModel:
+              c: float | None = None) -> PipelineModel:
     """A fresh fit of one model, as a pipeline that can be saved."""
     c = config.c if c is None else c
     shape = dict(featuresCol=features, labelCol=label)
     width = lambda: len(train.select(features).first()[0])
     if model == "Linear SVM":
-        return PipelineModel([fit_linear_svm(train, features, label, width(), n_classes, c, max_iter=config.svm_max_iter)])
+        return PipelineModel([fit_linear_svm(train, features, label, width(), n_classes, c, max_iter=config.svm_max_iter, tol=config.svm_tolerance)])
     if model == "Logistic Regression":
-        n_rows = n_rows or train.count()
-        est = LogisticRegression(family="multinomial", standardization=False, maxIter=config.logistic_max_iter, tol=1e-4,
-                                 regParam=1.0 / (c * n_rows), elasticNetParam=1.0 if l1 else 0.0, **shape)
-        if weight:
-            est = est.setWeightCol(weight)
-    elif model == "Multinomial NB":
+        return PipelineModel([fit_softmax(train, features, label, width(), n_classes, c, max_iter=config.logistic_max_iter, tol=config.svm_tolerance)])
+    if model == "Multinomial NB":
         est = NaiveBayes(modelType="multinomial", smoothing=1.0, **shape)
     elif model == "Random Forest":
-        est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=config.seed, maxDepth=20, **shape)
+        est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=config.seed, maxDepth=config.forest_depth, **shape)
     elif model == "MLP":
         est = MultilayerPerceptronClassifier(layers=[width(), 128, n_classes], maxIter=200, seed=config.seed, **shape)
     else:
@@ -107,7 +104,7 @@ def compare_baselines(df: DataFrame, n_classes: int, config: RunConfig = RunConf
             rows.append({**base, "warnings": "Skipped: naive Bayes needs non-negative features"})
             continue
         begin = time.time()
-        fitted[name] = fit_model(model, train, features, n_classes, config, n_rows=n_rows)
+        fitted[name] = fit_model(model, train, features, n_classes, config)
         rows.append({**base, **score(df, fitted[name], name), "time_s": time.time() - begin})
     rows.sort(key=lambda r: (r.get("val_accuracy") is None, -(r.get("val_accuracy") or 0.0), r["name"]))
     return rows, fitted

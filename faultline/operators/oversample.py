@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .ranking import hash_key, hash_ranks
 from .similarity import topk_nearest
 
-MAX_FEATURES = 10_000      # fixed value: dense vectors wider than this are refused
 CHUNK = 1000
 
 
-def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42, max_features: int = MAX_FEATURES) -> DataFrame:
+def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42, max_features: int | None = None) -> DataFrame:
     """(key, vector, label, synthetic_no, neighbour_id, share) with as many synthetic rows per class as
     it lacks to the largest class. A class of one row has no neighbour and gets none.
 
     Every row of a class gets an even number of synthetic rows, the first ones by hash rank one more;
-    neighbour and share come from a seeded hash. Rows are spread in chunks before they multiply."""
-    width = df.select(F.size(vector)).first()
-    if width and width[0] > max_features:
-        raise MemoryError(f"{width[0]} features exceed the limit of {max_features} for dense vectors")
+    neighbour and share come from a seeded hash. Rows are spread in chunks before they multiply. Vectors are of any width;
+    a caller that wants a limit can set `max_features`, which looks at all rows."""
+    if max_features is not None and (width := df.agg(F.max(F.size(vector))).first()[0] or 0) > max_features:
+        raise MemoryError(f"{width} features exceed the limit of {max_features}")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     need = counts.withColumn("_need", counts.agg(F.max("_n")).scalar() - F.col("_n"))
     hashed = hash_ranks(df.select(key, label, vector).withColumn("_h", hash_key(key, seed=seed)), "_h", [label], "_rank")
     share = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_need") % F.col("_n"), 1).otherwise(0)
     bases = hashed.join(need, label).withColumn("_copies", share.cast("long")).filter("_copies > 0")
-    neighbours = topk_nearest(df, k, key, vector, label)
+    numbered = checkpoint(counts.select(label).withColumn("_group", (F.row_number().over(Window.orderBy(label)) - 1)))     # one row per class
+    neighbours = topk_nearest(df.join(numbered, label), k, key, vector, "_group")
     listed = (neighbours.join(df.select(F.col(key).alias("match_id"), F.col(vector).alias("_other")), "match_id")
               .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "match_id", "_other"))).alias("_near")))       # at most k
     chunks = (bases.join(listed, key)

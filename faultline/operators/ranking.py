@@ -8,7 +8,6 @@ Three facts keep every task bounded:
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +91,9 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], bounds: int = 25
     by its own task, and only `bounds` range totals meet in one place."""
     probs = [i / bounds for i in range(1, bounds)]
     found = df.agg(F.percentile_approx(key, probs, ACCURACY)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=key, outputCol="_range").transform(df)
+    splits = sorted({float("-inf"), *found})
+    # a range per bound at or below the key; -inf, as callers give a missing key, is the lowest of all
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(s)) for s in splits]), lambda s: s <= F.col(key))))
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_t_{o}") for o in sums])

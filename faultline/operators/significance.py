@@ -13,19 +13,18 @@ from pyspark.sql.types import DoubleType
 
 
 def _two_sided_binomial(only_a: int, only_b: int) -> float:
-    """Two-sided exact p of a fair coin. Terms shrink away from the middle, so summing stops early."""
+    """Two-sided exact p of a fair coin. Terms, taken relative to the largest, shrink away from the middle, so summing stops
+    early even where the terms themselves are too small for a double."""
     n, m = int(only_a + only_b), int(min(only_a, only_b))
     if n == 0:
         return 1.0
-    log_n = math.lgamma(n + 1) - n * math.log(2)
-    total, i = 0.0, m
-    while i >= 0:
-        term = math.exp(log_n - math.lgamma(i + 1) - math.lgamma(n - i + 1))
+    largest = math.lgamma(n + 1) - n * math.log(2) - math.lgamma(m + 1) - math.lgamma(n - m + 1)
+    total, term, i = 0.0, 1.0, m
+    while i >= 0 and term > total * 1e-17:
         total += term
-        if term < total * 1e-17:
-            break
+        term *= i / (n - i + 1)
         i -= 1
-    return min(1.0, 2 * total)
+    return min(1.0, 2 * math.exp(largest + math.log(total)))
 
 
 @F.pandas_udf(DoubleType())

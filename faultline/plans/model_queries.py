@@ -14,7 +14,7 @@ from ..operators.features import cumulative_texts, feature_column, featurise, fi
 from ..operators.linear_svm import fit_linear_svm
 from ..operators.models import ALL, RESULT_SCHEMA, TEXT, compare_baselines, fit_model, fit_two_stage, predict_labels, result_frame, score
 from ..operators.scoring import predict_and_route
-from ..operators.search import forward_selection, grid_search_logistic, grid_search_svm, learning_curve, permutation_importance
+from ..operators.search import better_tuned, forward_selection, grid_search_logistic, grid_search_svm, learning_curve, permutation_importance
 from ..operators.splits import stratified_split
 from ..operators.vocabulary import fit_section_tfidf
 from ..session import checkpoint
@@ -171,10 +171,15 @@ def _final(spark, sf):
     data = _vectors(spark, sf)
     rows, fitted = compare_baselines(data.vectors, data.n_classes, CONFIG)
     base = result_frame(spark, rows).withColumn("type", F.lit("baseline"))
-    tuned = grid_search_svm(data.split("train"), feature_column(ALL), data.n_classes, CONFIG).model
+    chosen = []
+    for search in (grid_search_svm, grid_search_logistic):
+        grid = search(data.split("train"), feature_column(ALL), data.n_classes, CONFIG)
+        chosen.append((grid, E.metrics(_scored(data, grid.model, "tuned", ("val",))).first()["accuracy"]))
+    tuned_name, winner, _ = better_tuned(*chosen)
+    tuned = winner.model
     best = next(r["name"] for r in rows if r["name"] in fitted)
     two, _ = fit_two_stage(data.vectors, data.n_classes, fitted[best])
-    scored = E.metrics(_scored(data, tuned, "Tuned LinearSVC").unionByName(_scored(data, two, "Two-stage")))
+    scored = E.metrics(_scored(data, tuned, tuned_name).unionByName(_scored(data, two, "Two-stage")))
     pick = lambda s: F.max(F.when(F.col("split") == s, F.col("accuracy")))
     others = scored.groupBy(F.col("model").alias("name")).agg(pick("val").alias("val_accuracy"), pick("test").alias("test_accuracy"))
     others = others.withColumns({"type": F.when(F.col("name") == "Two-stage", "two-stage").otherwise("tuned"),

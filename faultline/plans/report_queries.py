@@ -313,7 +313,7 @@ _CONTRACT = ["superior_unit", "fault_type", "priority", "product_rstate"]
 
 
 @query("split_contract", f"WITH {split_sql(*_CONTRACT)}, v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS field, split, {c} AS value FROM x WHERE {c} IS NOT NULL" for c in _CONTRACT) +
-       ") SELECT field, split, value FROM v WHERE split <> 'train' AND NOT EXISTS (SELECT 1 FROM v t WHERE t.split = 'train' AND t.field = v.field AND t.value = v.value)")
+       "), k AS (SELECT field, value, bool_or(split = 'train') AS known, list(split) AS splits FROM v GROUP BY field, value) SELECT field, unnest(splits) AS split, value FROM k WHERE NOT known")
 def _contract(spark, sf):
     return L.split_contract(split_rows(spark, sf, *_CONTRACT), _CONTRACT)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ NA_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-_SURPLUS = "_surplus"
+_RECORD = "_record"
 
 
 def _options(reader, config: RunConfig):
@@ -38,12 +40,19 @@ def read_reports_csv(spark: SparkSession, path: str, config: RunConfig = RunConf
     doubled quotes stay inside a field. A multi-line CSV cannot be split, so this is a one-off step:
     store the result with `write_reports` and work from there."""
     names = [RAW_COLUMNS.get(n, n) for n in _header(spark, path, config)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     raw = (_options(spark.read, config).option("header", True).option("enforceSchema", True)
-           .schema(schema).csv(path))
+           .option("columnNameOfCorruptRecord", _RECORD).schema(schema).csv(path))
+
+    @F.pandas_udf("int")
+    def fields(records: pd.Series) -> pd.Series:
+        """Fields of a record that does not have the header's number of them, empty ones counted."""
+        return records.map(lambda r: len(next(csv.reader(io.StringIO(r, newline="")), [])))
+
+    odd = F.col(_RECORD).isNotNull()
     cells = [F.when(~F.col(f"`{n}`").isin(NA_TEXTS), F.col(f"`{n}`")).alias(n) for n in names]
     return (raw.withColumn("ingest_pos", F.monotonically_increasing_id())
-            .filter(F.col(_SURPLUS).isNull()).select("ingest_pos", *cells))
+            .filter(~odd | F.coalesce(F.when(odd, fields(_RECORD)) <= len(names), F.lit(True))).select("ingest_pos", *cells))
 
 
 def write_reports(df: DataFrame, path: str) -> DataFrame:
