@@ -42,7 +42,7 @@ def test_jobs_train_and_score(spark, tmp_path):
     lines = [",".join(names)] + [",".join(quote(v) for v in row[1:10]) for row in tiny_rows()]
     path = tmp_path / "reports.csv"
     path.write_text("\n".join(lines), encoding="latin-1")
-    train_job.run(spark, train_job.parse_args(["--input", str(path), "--model-out", str(tmp_path / "model"), "--min-samples", "1", "--split-mode", "temporal"]))
+    train_job.run(spark, str(path), str(tmp_path / "model"), ["min_samples=1", "split_mode=temporal"])
     assert spark.read.parquet(str(tmp_path / "model" / "results")).count() == 5
     spark.createDataFrame([(f"n{i}", "Core dump crash after upgrade.") for i in range(4)], "report_id string, observation string").write.parquet(str(tmp_path / "new"))
     score_job.run(spark, score_job.parse_args(["--model", str(tmp_path / "model"), "--input", str(tmp_path / "new"), "--output", str(tmp_path / "scored")]))
