@@ -14,7 +14,7 @@ from ..session import checkpoint
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
     least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected(links: DataFrame) -> DataFrame:
     """(u, v) long links, any order, repeats allowed -> (node, root) for every node but the roots; root is the least node."""
-    edges = checkpoint(links.select("u", "v").filter("u <> v").distinct())
+    edges = checkpoint(_small_star(checkpoint(links.select("u", "v").filter("u <> v"))))
     before = _state(edges)
     while before[0]:
         edges = checkpoint(_small_star(checkpoint(_large_star(edges))))

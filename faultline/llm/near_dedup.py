@@ -27,7 +27,7 @@ from .common import map_batches, prepare, whole_text
 from .components import connected
 
 SHINGLE, PERCENT = 5, 75
-TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 2048, 8
+TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 4096, 8
 #: A leaf's sets together hold at most so many shingles (32 MB), however long its documents are.
 LEAF_SHINGLES = 4_000_000
 #: Levels that branch twice; deeper ones branch once, so that a class has at most 2 ** 4 rows a tree.
@@ -172,12 +172,13 @@ def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = {"u": [], "v": []}
             for rows in batch["rows"]:
+                rows = sorted(rows, key=lambda r: r["id"])
                 ids, shingles = [r["id"] for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                size, common = np.array([len(s) for s in shingles], np.float64), common_counts(shingles).astype(np.float64)
-                near = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+                size, counts = np.array([len(s) for s in shingles], np.float64), common_counts(shingles)
                 part = np.arange(len(ids))
                 for i in range(1, len(ids)):
-                    met = np.unique(part[:i][near[i, :i]])
+                    common = counts[i, :i].astype(np.float64)
+                    met = np.unique(part[:i][100 * common >= PERCENT * (size[i] + size[:i] - common)])
                     if len(met):
                         part[i] = met[0]
                         if len(met) > 1:
@@ -218,16 +219,20 @@ def _empty(df: DataFrame) -> bool:
     return not df.head(1)
 
 
-def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Stars (node, root) of the components so far and new links."""
-    if known is not None:
-        links = links.union(known.select("node", "root"))
-    return checkpoint(connected(links))
+def _labels(links: list[DataFrame]) -> DataFrame:
+    """(id, root): for linked classes the least neighbour of their least neighbour. Equal roots mean one component, which is all
+    that pruning needs; components are completed once, at the end."""
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    both = every.select("u", "v").union(every.select(F.col("v"), F.col("u")))
+    near = checkpoint(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return checkpoint(near.join(near.select(F.col("id").alias("m"), F.col("m").alias("next")), "m").select("id", F.col("next").alias("root")))
 
 
 def _relabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (node, id, w) with their component so far as label."""
-    return rows.select("node", "id", "w").join(known.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "id", "w", F.coalesce("root", "id").alias("label"))
+    return rows.select("node", "id", "w").join(known, "id", "left").select("node", "id", "w", F.coalesce("root", "id").alias("label"))
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
@@ -238,26 +243,28 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): the component of every class that is linked to another one, named by its least class id."""
-    level = _sized(_roots(classes))
-    sets = known = None
-    depth = 0
+    level, links, sets, depth = _sized(_roots(classes)), [], None, 0
     while True:
         leaves, large = level.filter("leaf"), level.filter("not leaf")
         groups = checkpoint(_leaf_groups(leaves, classes))
         if sets is None:  # deeper levels hold no other classes
             sets = checkpoint(_sets(docs, classes, groups.select(F.explode("members").alias("id")).union(large.select("id"))))
-        known = _joined(known, _group_links(groups, sets))
+        links.append(checkpoint(_group_links(groups, sets)))
         if _empty(large):
-            return known
-        rows = _sized(_relabelled(large, known))
+            break
+        rows = _sized(_relabelled(large, _labels(links)))
         pivots = checkpoint(_pivots(rows))
         met = rows.join(pivots, "node").filter("label <> of")
         pairs = checkpoint(met.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct())
         near = pairs.join(classes.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u").join(classes.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v")
-        known = _joined(known, _pair_links(near.filter(_equal("a", "b") >= LEAST_EQUAL).select("u", "v"), sets))
+        links.append(checkpoint(_pair_links(near.filter(_equal("a", "b") >= LEAST_EQUAL).select("u", "v"), sets)))
         rest = rows.join(pivots.select("node", F.col("pivot").alias("id")), ["node", "id"], "left_anti")
-        level = _sized(_children(_relabelled(rest, known), classes, depth))
+        level = _sized(_children(_relabelled(rest, _labels(links)), classes, depth))
         depth += 1
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return checkpoint(connected(every))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
