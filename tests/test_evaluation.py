@@ -90,3 +90,19 @@ def test_best_run_and_final_table(spark):
     assert E.best_run(runs).first().name == "a"
     table = E.final_comparison(runs, spark.createDataFrame([("z", 0.9, 0.8)], "name string, val_accuracy double, test_accuracy double")).collect()
     assert [r.name for r in table] == ["z", "a", "b", "c"] and table[1].test_accuracy is None
+
+
+def test_missing_confidence_is_the_lowest(spark):
+    rows = [(i, "a", "a" if i % 3 else "b", None if i >= 13 else i / 20) for i in range(20)]
+    frame = spark.createDataFrame(rows, "report_id long, label string, prediction string, confidence double")
+    points = C.operating_points(frame).orderBy("coverage").collect()
+    assert [r["coverage"] for r in points] == [0.5, 0.6, 0.7, 0.8, 0.9, 1.0] and [r["threshold"] is None for r in points] == [False, False, True, True, True, True]
+    curve = C.precision_coverage(frame).collect()
+    assert max(r["n_routed"] for r in curve) == 20 and sum(r["threshold"] is None for r in curve) == 1
+    nothing = frame.withColumn("confidence", F.lit(None).cast("double"))
+    assert C.operating_points(nothing).count() == 6 and C.precision_coverage(nothing).count() == 1
+
+
+def test_exact_p_of_a_lopsided_table_is_fast():
+    from faultline.operators.significance import _two_sided_binomial
+    assert _two_sided_binomial(1_200_000, 800_000) == 0.0 and abs(_two_sided_binomial(5, 1) - 0.21875) < 1e-12

@@ -62,3 +62,10 @@ def test_smote_balances_and_stays_between_neighbours(spark):
         assert np.allclose(r.v, points[r.id] + r.share * (points[r.neighbour_id] - points[r.id]))
     with pytest.raises(MemoryError):
         smote(df, "id", "v", "y", max_features=2)
+
+
+def test_smote_takes_string_classes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], "big" if i < 20 else "small") for i in range(26)]
+    got = smote(spark.createDataFrame(rows, "id long, v array<double>, y string"), "id", "v", "y").collect()
+    assert len(got) == 14 and {r.y for r in got} == {"small"} and all(r.neighbour_id >= 20 for r in got)

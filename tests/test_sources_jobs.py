@@ -63,3 +63,11 @@ def test_result_does_not_depend_on_partitions(spark, name):
         rows.append(sorted(map(str, fn(spark, SF).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert rows[0] == rows[1]
+
+
+def test_surplus_fields_drop_a_row_even_when_empty(spark, tmp_path):
+    from faultline.sources.csv_reports import read_reports_csv
+    path = tmp_path / "odd.csv"
+    path.write_text('General.Eriref,General.Heading,other\nH1,a,b\nH2,a,b,\nH3,a\nH4,"x\ny",b,,\nH5,"p\nq",b\nH6,a,b,c\n', encoding="ISO-8859-1")
+    rows = {r["report_id"]: r["heading"] for r in read_reports_csv(spark, str(path)).collect()}
+    assert rows == {"H1": "a", "H3": "a", "H5": "p\nq"}

@@ -77,3 +77,12 @@ def test_edge_signals(spark):
     assert got[0] == float("inf") and math.isnan(got[1]) and got[2:] == [0.0, 0.0]
     df = spark.createDataFrame([(None, None), (None, "a"), ("a", "a")], "p string, n string")
     assert [r[0] for r in df.select(S.cross_component("p", "n")).collect()] == [0, 1, 0]
+
+
+def test_date_forms_and_true_texts(spark):
+    from faultline.functions.signals import is_true, parse_time
+    texts = ["2023-01-05 03:04:05", "2023/01/05 03:04", "20230105", "01/02/2023 10:00", "2023-01-05 - 03:04:05", "soon", None]
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parse_time("t")).collect()]
+    assert got == ["2023-01-05 03:04:05", "2023-01-05 03:04:00", "2023-01-05 00:00:00", "2023-01-02 10:00:00", "2023-01-05 03:04:05", "None", "None"]
+    flags = [r[0] for r in spark.createDataFrame([(t,) for t in ["true", "TRUE", "1", "yes", "y", "false", None]], "t string").select(is_true("t")).collect()]
+    assert flags == [1, 1, 1, 0, 0, 0, 0]
