@@ -15,6 +15,7 @@ from ..operators.linear_svm import fit_linear_svm
 from ..operators.models import ALL, RESULT_SCHEMA, TEXT, compare_baselines, fit_model, fit_two_stage, predict_labels, result_frame, score
 from ..operators.scoring import predict_and_route
 from ..operators.search import better_tuned, forward_selection, grid_search_logistic, grid_search_svm, learning_curve, permutation_importance
+from ..operators.prepare import prepare_supervised
 from ..operators.splits import stratified_split
 from ..operators.vocabulary import fit_section_tfidf
 from ..session import checkpoint
@@ -195,11 +196,16 @@ def _final(spark, sf):
 
 @query("hybrid_features")
 def _hybrid(spark, sf):
-    """Text, embedding and structured blocks side by side, for reports that have an embedding."""
-    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ingest_pos"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding_vec"))
-    rows = checkpoint(reports(spark, sf).join(emb, "ingest_pos"))
-    model, meta = fit_features(rows, CONFIG, embedding="embedding_vec")
-    vectors = featurise(rows, model, "ingest_pos", "embedding_vec")
+    """Text, embedding and structured blocks side by side, fitted on the training split. A report without embedding stays: its
+    block is zero and a flag says so."""
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ingest_pos"), F.transform("embedding", lambda x: x.cast("double")).alias("_emb"))
+    split = stratified_split(checkpoint(prepare_supervised(reports(spark, sf), CONFIG.min_samples, CONFIG.drop_rare)))
+    width = emb.agg(F.max(F.size("_emb"))).scalar()
+    filled = F.coalesce("_emb", F.array_repeat(F.lit(0.0), F.col("_width")))
+    rows = checkpoint(split.join(emb, "ingest_pos", "left").withColumn("_width", width).withColumn("has_embedding", F.col("_emb").isNotNull())
+                      .withColumn("embedding_vec", array_to_vector(filled)).drop("_emb", "_width"))
+    model, meta = fit_features(rows.filter("split = 'train'"), CONFIG, embedding="embedding_vec")
+    vectors = featurise(rows, model, "ingest_pos", "has_embedding", "embedding_vec")
     stored = lambda c: F.size(F.filter(F.unwrap_udt(c)["values"], lambda x: x != 0))
-    return vectors.select("ingest_pos", stored("text_vec").alias("text_nonzeros"), stored("full_vec").alias("full_nonzeros"),
+    return vectors.select("ingest_pos", "has_embedding", stored("text_vec").alias("text_nonzeros"), stored("full_vec").alias("full_nonzeros"),
                           F.lit(meta["full_width"]).alias("structured_and_text_width"))
