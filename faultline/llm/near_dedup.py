@@ -206,7 +206,8 @@ def _pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the wanted classes, from the text of one row each."""
     rows = classes.join(wanted.distinct(), "id").select("id", F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    held = docs.join(rows, docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", "text")
+    # The wanted classes grow with the corpus, so this join shuffles at every size; it never turns into a broadcast.
+    held = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", "text")
 
     def shingles(batches):
         for batch in batches:
@@ -300,7 +301,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     same = rows["d"].eqNullSafe(kept["d"]) & (rows["t"] == kept["t"])
     repeats = checkpoint(found.filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t")))
     if _empty(repeats):
-        return rows.join(kept, same, "left_semi").select("row.*")
+        return rows.join(kept.hint("merge"), same, "left_semi").select("row.*")
     is_repeat = rows["d"].eqNullSafe(repeats["d"]) & (rows["t"] == repeats["t"])
     single = rows.join(repeats, is_repeat, "left_anti").join(kept, same, "left_semi").select("row")
     several = rows.join(repeats, is_repeat, "left_semi").join(kept, same, "left_semi").dropDuplicates(["d", "t"]).select("row")
