@@ -28,7 +28,7 @@ from .common import map_batches, prepare, whole_text
 from .tokens import DEFAULT_FILE, WordEncoder, as_uint32, tokenizer_path
 
 #: The lexicon's bounds: words, and bytes of a word.
-LEXICON_WORDS, WORD_BYTES = 50_000, 48
+LEXICON_WORDS, WORD_BYTES = 20_000, 48
 _ARRAYS = ("first", "labels", "targets", "skips", "final", "counts", "offsets", "ids")
 
 
@@ -170,12 +170,16 @@ class Lexicon:
 class Codec:
     """Encodes and decodes whole texts. Words seen lately stay at hand, in two generations of at most `limit`."""
 
-    def __init__(self, lexicon: Lexicon, path: str, limit: int = 250_000):
-        self.lexicon, self.merger, self.limit, self.known, self.older = lexicon, WordEncoder(path, as_uint32), limit, {}, {}
+    def __init__(self, lexicon: Lexicon, path: str, limit: int = 120_000):
+        self.lexicon, self.merger, self.limit, self.known, self.older = lexicon, WordEncoder(path, as_uint32, limit), limit, {}, {}
         tokenizer = self.merger.tokenizer
         self.tokens = None if tokenizer.decoder is not None else [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
-    def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[bytes], at_once: int = 128) -> list[np.ndarray]:
+        """Ids of every text; so many texts at a time stand as lists of words in memory."""
+        return [ids for at in range(0, len(texts), at_once) for ids in self._encode(texts[at:at + at_once])]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         self.merger.trim()
@@ -205,7 +209,7 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WOR
         for batch in batches:
             for data in batch["text"]:
                 seen.update(data.split())
-            if len(seen) > 300_000:
+            if len(seen) > 150_000:
                 yield {"word": list(seen), "n": list(seen.values())}
                 seen = Counter()
         yield {"word": list(seen), "n": list(seen.values())}
