@@ -99,6 +99,40 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert quality.quality(none).count() == quality.kept_rows(none).count() == 0
 
 
+def odd(rng, n):
+    """Distinct texts that pass the counts and are written like no language."""
+    return " ".join("".join(chr(rng.randrange(0x61, 0x7B)) if rng.random() < 0.3 else rng.choice("0123456789;:=~^@!?/") for _ in range(rng.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.8])
+def test_quality_band_ignores_copies(spark, share):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(60, 200)), "en") for i in range(150)] + [(1000 + i, odd(rng, 80), "en") for i in range(15)]
+    copied = rows[7][1]
+    rows += [(2000 + i, copied, "en") for i in range(round(165 * share / (1 - share)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()} == {r[0] for r in rows if not 1000 <= r[0] < 2000}
+
+
+def test_quality_band_ignores_a_third_of_junk(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(60, 200)), "en") for i in range(140)] + [(1000 + i, odd(rng, rng.randint(60, 120)), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()} == set(range(140))
+
+
+def test_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 4)  # most texts share a bucket with a repeated one
+    rows = [("en", f"text {i}") for i in range(40)] + [("en", "text 3"), ("en", "text 3"), ("de", "text 3"), ("", "text 4"), ("", "text 4")]
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumn("th", F.xxhash64("text"))
+    assert Counter(tuple(r) for r in quality.distinct_texts(docs).collect()) == Counter(set(rows))
+
+
+def test_shortest_half():
+    assert quality.shortest_half(np.array([-900, 1, 2, 3, 50]), np.array([3, 1, 2, 1, 1])) == (1, 3)
+    assert quality.shortest_half(np.array([7]), np.array([1])) == (7, 7)
+
+
 # secrets
 
 def der(tag, *parts):
