@@ -5,8 +5,10 @@ prefix ends before the least turn that only one of them has, so the cut is one m
 conversation is gathered to find it. Turns before the cut are rendered once as prompt; the rest of each side is its completion.
 In a completion only assistant turns are trained, from behind their header to their end mark; the prompt is never trained.
 
-Rendered turns are joined into rows by blocks of BLOCK turn numbers: a conversation of any length makes rows of bounded size,
-and its blocks in order, joined, are its whole text. Spans count code points inside the row's own string.
+Rendered turns are joined into rows by blocks of BLOCK turn numbers. A pair of which a block would hold over 2 * BLOCK turns (turn
+numbers are null or repeat, or many conversations have no id) makes its blocks of BLOCK turns in their order instead, counted from
+0; their ranks are sums of counts over ranges of the order, so no task needs the whole pair. So a row holds at most 2 * BLOCK
+turns, and a pair's blocks in order, joined, are its whole text. Spans count code points inside the row's own string.
 
 Defined cases: null role counts as `user`, null text as empty, a null turn comes first; rows without pair are dropped by no one
 and form a pair of their own; a turn given twice counts once, different turns of one number follow each other by role and text; a
@@ -15,9 +17,10 @@ columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .common import read
 
 OPEN, CLOSE, BLOCK = "<|im_start|>", "<|im_end|>\n", 64
@@ -27,6 +30,26 @@ def _turns(turns: DataFrame) -> DataFrame:
     return turns.select("pair", F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _with_blocks(merged: DataFrame, sides: DataFrame) -> DataFrame:
+    """The distinct turns with their block: of the turn number, or of the rank in a pair with crowded blocks."""
+    number, same = F.floor(F.col("turn") / BLOCK), F.col("pair").eqNullSafe(F.col("crowded"))
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("pair", number.alias("block")).agg(F.count("*").alias("n")).filter(f"n > {2 * BLOCK}")
+        return checkpoint(counts.select(F.col("pair").alias("crowded")).distinct())
+
+    if not (candidates := crowded(sides)).head(1):  # repeated turns are counted each time here
+        return merged.withColumn("block", number)
+    pairs = crowded(merged.join(candidates, same, "left_semi"))
+    dealt = checkpoint(merged.join(pairs, same, "left_semi").repartitionByRange("pair", "turn", "role", "text").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pair").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpoint(dealt.groupBy("pair", "part").agg(F.count("*").alias("n")).select(F.col("pair").alias("start_pair"), F.col("part").alias("start_part"), before.alias("before")))
+    place = F.row_number().over(Window.partitionBy("pair", "part").orderBy("turn", "role", "text")) - 1
+    ranked = dealt.withColumn("place", place).join(starts, F.col("pair").eqNullSafe(F.col("start_pair")) & (F.col("part") == F.col("start_part")))
+    by_rank = ranked.select(*merged.columns, F.floor((F.col("before") + F.col("place")) / BLOCK).alias("block"))
+    return merged.join(pairs, same, "left_anti").withColumn("block", number).union(by_rank)
+
+
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """chosen, rejected: (pair, turn, role, text). Returns (pair, block, prompt, chosen, rejected, chosen_spans, rejected_spans),
     spans as start:end of the trained parts, comma-joined."""
@@ -35,8 +58,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     merged = sides.groupBy("pair", "turn", "role", "text").agg(F.bit_or("side").alias("sides"))
     cuts = merged.filter("sides <> 3").groupBy("pair").agg(F.min(F.struct("turn", "role", "text")).alias("cut")).withColumnRenamed("pair", "cut_pair")
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"))
-    parts = merged.join(cuts, F.col("pair").eqNullSafe(F.col("cut_pair")), "left").select(
-        "pair", "turn", "role", "text", "sides", (F.col("cut").isNull() | (F.struct("turn", "role", "text") < F.col("cut"))).alias("shared"),
+    parts = _with_blocks(merged, sides).join(cuts, F.col("pair").eqNullSafe(F.col("cut_pair")), "left").select(
+        "pair", "block", "turn", "role", "text", "sides", (F.col("cut").isNull() | (F.struct("turn", "role", "text") < F.col("cut"))).alias("shared"),
         F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"), F.length(head).alias("head"))
 
     def side(bit: int):
@@ -44,7 +67,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         return F.sort_array(F.collect_list(F.when(own, F.struct("turn", "role", "text", "rendered", "head"))))
 
     prompt = F.sort_array(F.collect_list(F.when(F.col("shared"), F.struct("turn", "role", "text", "rendered", "head"))))
-    blocks = parts.groupBy("pair", F.floor(F.col("turn") / BLOCK).alias("block")).agg(prompt.alias("p"), side(1).alias("c"), side(2).alias("r"))
+    blocks = parts.groupBy("pair", "block").agg(prompt.alias("p"), side(1).alias("c"), side(2).alias("r"))
 
     def text(name: str):
         return F.array_join(F.transform(name, lambda t: t["rendered"]), "")

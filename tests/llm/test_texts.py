@@ -239,6 +239,27 @@ def test_preference_nulls_and_empty(spark):
     assert preference.format_pairs(none, none).count() == 0
 
 
+def test_preference_rows_are_bounded(spark):
+    """A null pair and null turns hold a third of the rows each; one more pair only repeats its turns."""
+    chosen = [(None, i % 8, "assistant" if i % 2 else "user", f"null pair {i}") for i in range(400)]
+    chosen += [(1, None, "user", f"null turn {i}") for i in range(400)] + [(1, t, "user", f"{t}") for t in range(70)]
+    chosen += [(2 + i // 4, i % 4, "assistant", f"text {i}") for i in range(320)] + [(500, 3, "user", "again")] * 300 + [(500, 64, "user", "end")]
+    rejected = [(None, i % 8, "user", f"null pair {i}") for i in range(0, 400, 5)] + [(1, None, "user", f"null turn {i}") for i in range(390)]
+    frames = [spark.createDataFrame(rows, "pair long, turn long, role string, text string").repartition(3) for rows in (chosen, rejected)]
+    rows = sorted(preference.format_pairs(*frames).collect(), key=lambda r: (r["pair"] or -1, r["block"]))
+    assert max(r[name].count("<|im_start|>") for r in rows for name in ("prompt", "chosen", "rejected")) <= 2 * preference.BLOCK
+    assert len({(r["pair"], r["block"]) for r in rows}) == len(rows)
+    assert [r["block"] for r in rows if r["pair"] == 500] == [0, 1] and {r["block"] for r in rows if r["pair"] and 1 < r["pair"] < 500} == {0}
+    got, sides = defaultdict(lambda: ["", "", ""]), [defaultdict(list), defaultdict(list)]
+    for r in rows:
+        for i, name in enumerate(("prompt", "chosen", "rejected")):
+            got[r["pair"]][i] += r[name]
+    for held, turns in zip(sides, (chosen, rejected)):
+        for pair, turn, role, text in turns:
+            held[pair].append((-1 if turn is None else turn, role, text))
+    assert {k: tuple(v) for k, v in got.items()} == brute_preferences(*sides)
+
+
 # exact top-k
 
 def brute_top(rows, k):
