@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import arrow_files, impact_index, line_dedup, near_dedup, packing, preference, quality, secret_scan, token_counts, transducer
+from . import arrow_files, impact_index, line_dedup, manifest, near_dedup, packing, preference, quality, secret_scan, token_counts, transducer
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -65,3 +65,8 @@ def _line_dedup(spark, sf_dir):
 @query("op10_token_counts")
 def _token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query("op13_manifest", manifest.SQL)
+def _manifest(spark, sf_dir):
+    return manifest.manifest(read(spark, sf_dir, "documents"))
