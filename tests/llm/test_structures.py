@@ -1,13 +1,14 @@
 """Manifest, prefix trie and repeated substrings against plain Python."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
-from faultline.llm import manifest, scan
+from faultline.llm import manifest, prefix_trie, scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, rank long, grp string, leaf string"
 
@@ -87,3 +88,49 @@ def test_ranks_and_running_sums(spark):
         assert [got[(g, v)] for v in own] == [(i, len(own)) for i in range(len(own))]
     sums = {r.v: r.s for r in scan.running(df, "v", {"s": scan.F.col("v")}, 64).collect()}
     assert sums == {i: i * (i + 1) // 2 for i in range(500)}
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            own[conv].append((turn is not None, turn or 0, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), role, text))
+    first = {c: [t[3:] for t in sorted(turns)] for c, turns in own.items()}
+    rebuilt = {}
+    for c, turns in first.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = first.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
+    nodes = defaultdict(list)
+    for c in sorted(rebuilt):
+        for d in range(len(rebuilt[c]) + 1):
+            nodes[tuple(rebuilt[c][:d])].append(c)
+    out = Counter()
+    for prefix, convs in nodes.items():
+        below = [p for p in nodes if p[:len(prefix)] == prefix]
+        leaves = [p for p in below if not any(q[:-1] == p for q in below if q)]
+        saved = sum((len(nodes[p]) - 1) * len(p[-1][1]) for p in below if p)
+        parent = nodes[prefix[:-1]][0] if prefix else None
+        ended = ",".join(str(c) for c in convs if len(rebuilt[c]) == len(prefix))
+        out[(convs[0], len(prefix), parent, len(convs), sum(q[:-1] == prefix for q in below if q), len(leaves), saved, digest(ended))] += 1
+    return out
+
+
+def conversation_rows(n):
+    rng = random.Random(n)
+    rows = []
+    for c in [*range(n), 100, 105, 199, -3]:
+        for turn in range(rng.choice([1, 2, 3, 7])):
+            rows.append((c, turn, rng.choice(["user", "assistant"]), rng.choice(["a", "bé", "long text", None, ""]), "x", 0))
+    rows += [(2, None, None, None, "x", 0), (2, None, "user", "z", "x", 0), (None, 0, "user", "q", "x", 0)] + rows[:4] + [(3, 1, "user", "tie", "x", 0)]
+    return rows + [(7, t, "user", f"turn {t % 3}", "x", 0) for t in range(40)] + [(207, t, "user", f"turn {t % 3}", "x", 0) for t in range(40)]
+
+
+@pytest.mark.parametrize("n, chunk, gather", [(40, 4, 60), (25, 1024, 1 << 16), (0, 4, 60)])
+def test_trie_is_the_plain_one(spark, n, chunk, gather, monkeypatch):
+    """Small chunks and little gathered at once: many rounds."""
+    monkeypatch.setattr(prefix_trie, "CHUNK", chunk)
+    monkeypatch.setattr(prefix_trie, "GATHER", gather)
+    rows = conversation_rows(n) if n else []
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rank string, id long").repartition(3)
+    assert Counter(tuple(r) for r in prefix_trie.shared_prefixes(df).collect()) == brute_trie(rows)
