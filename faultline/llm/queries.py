@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import arrow_files, impact_index, line_dedup, manifest, near_dedup, packing, preference, prefix_trie, quality, secret_scan, token_counts, transducer
+from . import arrow_files, impact_index, line_dedup, manifest, near_dedup, packing, preference, prefix_trie, quality, secret_scan, substring_dedup, token_counts, transducer
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -67,6 +67,11 @@ def _token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+@query("op11_substrings")
+def _substrings(spark, sf_dir):
+    return substring_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 @query("op12_prefix_trie", prefix_trie.SQL)
 def _prefix_trie(spark, sf_dir):
     return prefix_trie.shared_prefixes(read(spark, sf_dir, "conversations"))

@@ -6,9 +6,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
-from faultline.llm import manifest, prefix_trie, scan
+from faultline.llm import manifest, prefix_trie, scan, substring_dedup
+from faultline.llm.run_index import RunIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, rank long, grp string, leaf string"
 
@@ -134,3 +137,64 @@ def test_trie_is_the_plain_one(spark, n, chunk, gather, monkeypatch):
     rows = conversation_rows(n) if n else []
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rank string, id long").repartition(3)
     assert Counter(tuple(r) for r in prefix_trie.shared_prefixes(df).collect()) == brute_trie(rows)
+
+
+def brute_substrings(rows, length=100):
+    """Rows of equal doc_id and text are one document."""
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True)  # noqa: E731  Spark's xxhash64
+    texts = sorted({(r[0] is not None, r[0] or 0, signed((r[1] or "").encode()), (r[1] or "").encode(), r[0]) for r in rows}, key=lambda t: t[:4])
+    seen, made = set(), {}
+    for _, _, _, text, doc in texts:
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - length + 1):
+            if text[i:i + length] in seen:
+                gone[i:i + length] = True
+            seen.add(text[i:i + length])
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        made[(doc, text)] = (doc, len(text), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return Counter(made[(r[0], (r[1] or "").encode())] for r in rows)
+
+
+def substring_rows():
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join(rng.choice(["lorem", "ipsüm", "dolor", "sit", "amet", "x", "日本"]) + str(rng.randrange(60)) for _ in range(n))
+
+    passage, base = prose(40), prose(120)
+    texts = [None, "", "short", "a" * 99, "a" * 100, "a" * 350, "ab" * 300, base, base, base[:200] + "!" + base[200:], base[150:500] + prose(30), passage, passage + "x"]
+    texts += [prose(rng.randrange(5)) + passage[rng.randrange(30):] + prose(20) for _ in range(40)] + [prose(1200) + base + passage * 3, "\0" * 130, "\0" * 120]
+    rows = [(i, t, "en", "s", 1, "p", 1, "g", "l") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows + [rows[3], rows[9], (5, base, *rows[0][2:]), (5, passage, *rows[0][2:]), (None, base, *rows[0][2:]), (None, passage, *rows[0][2:])]
+
+
+@pytest.mark.parametrize("hot, block, piece", [(1 << 14, 4 << 20, 1 << 21), (2, 3000, 1 << 21), (5, 900, 700)])
+def test_substrings_against_brute_force(spark, hot, block, piece, monkeypatch):
+    """Small blocks and pieces; anchors with more than two stretches are dealt by single strings."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_PAIRS", 200)
+    rows = substring_rows()
+    got = Counter(tuple(r) for r in substring_dedup.digests(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect())
+    assert got == brute_substrings(rows)
+
+
+def test_substrings_of_nothing(spark):
+    assert substring_dedup.digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_run_index_matches_and_stays_small():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 4, 400, np.uint8).tobytes()
+    for length in (1, 5, 12):
+        strings = [base[a:a + n] for a, n in zip(rng.integers(0, 350, 40).tolist(), rng.integers(0, 60, 40).tolist())] + [b"", bytes([255, 0, 255] * 9)]
+        index = RunIndex(b"".join(strings), np.array(list(map(len, strings))))
+        grams = [s[j:j + length] for s in strings for j in range(len(s) - length + 1)]
+        places = np.array([index.starts[i] + j for i, s in enumerate(strings) for j in range(len(s) - length + 1)])
+        first = {}
+        assert index.first_of_equals(places, length).tolist() == [first.setdefault(g, i) for i, g in enumerate(grams)]
+    copies = RunIndex(base * 50, np.full(50, 400))
+    assert len(copies.run_rows) < 2 * 400 < 50 * 400 / 10
