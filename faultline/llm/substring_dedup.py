@@ -168,7 +168,8 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
         if texts:
             yield block()
 
-    buckets = max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    # Spark deals a table with fewer buckets than shuffle partitions anew before a join.
+    buckets = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"blocks_{uuid.uuid4().hex}"
     made = rows.select("doc_id", "text", "th").mapInArrow(pack, BLOCKS).withColumn("block", F.monotonically_increasing_id())
     made.write.format("parquet").bucketBy(buckets, "block").option("path", f"{_shared_folder(spark)}/{name}").saveAsTable(name)
