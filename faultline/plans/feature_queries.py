@@ -12,6 +12,8 @@ from ..functions.stopwords import english_stop_words
 from ..operators.features import (
     NUMERIC, PRIORITY, SECTIONS, ColumnScalerModel, ReportColumns, fit_scaler, one_hot_stages, population_scale, safe_label,
 )
+from ..operators.similarity import best_k
+from ..operators.text_topk import sparse_unit
 from ..operators.vocabulary import fit_section_tfidf, section_terms, top_terms
 from ..session import checkpoint
 from . import sql as Q
@@ -79,37 +81,51 @@ def _vocabulary(spark, sf):
     return out
 
 
-def weights_sql(section: str) -> str:
-    """CTEs up to w: unit TF-IDF weights (report_id, split, target, term, weight) of one section."""
-    return (f"{_vocabulary_sql(FAST)}, tf AS (SELECT report_id, term, count(*) AS tf FROM tok WHERE section = '{section}' GROUP BY 1, 2), "
-            f"u AS (SELECT tf.report_id, tf.term, tf * (ln((1.0 + n_docs) / (1.0 + docs)) + 1) AS raw FROM tf JOIN v ON v.term = tf.term AND v.section = '{section}', nd), "
-            "w AS MATERIALIZED (SELECT u.report_id, t.split, t.target, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY u.report_id)) AS weight FROM u JOIN t ON t.report_id = u.report_id)")
+def weights_sql() -> str:
+    """CTEs up to w: TF-IDF weights (section, report_id, split, target, term, part, weight) of all sections: `part` is of length 1
+    per section, `weight` per report."""
+    return (f"{_vocabulary_sql(FAST)}, tf AS (SELECT section, report_id, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3), "
+            "u AS (SELECT tf.section, tf.report_id, tf.term, tf * (ln((1.0 + n_docs) / (1.0 + docs)) + 1) AS raw FROM tf JOIN v ON v.term = tf.term AND v.section = tf.section, nd), "
+            "p AS (SELECT section, report_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY report_id, section)) AS part FROM u), "
+            "w AS MATERIALIZED (SELECT p.section, p.report_id, t.split, t.target, term, part, part / sqrt(sum(part * part) OVER (PARTITION BY p.report_id)) AS weight FROM p JOIN t ON t.report_id = p.report_id)")
 
 
-def fitted_section(spark, sf, section: str, config: RunConfig = FAST):
-    """Split rows with the unit TF-IDF vector of one section, and the fitted pipeline."""
-    rows = checkpoint(section_texts(split_rows(spark, sf, *_TEXT_INPUTS)).select("report_id", "target", "split", section))
-    models, _ = fit_section_tfidf(rows.filter("split = 'train'"), {section: section}, config.section_budgets(), config.budgets["ngram_max"])
-    model = models[section]
-    return model.transform(rows).select("report_id", "target", "split", F.col(f"tfidf_{section}").alias("vec")), model
+def fitted_sections(spark, sf, config: RunConfig = FAST):
+    """Split rows with the unit TF-IDF vector of every section (tfidf_<section>), and the vocabularies."""
+    rows = checkpoint(section_texts(split_rows(spark, sf, *_TEXT_INPUTS)))
+    models, _ = fit_section_tfidf(rows.filter("split = 'train'"), {s: s for s in SECTIONS}, config.section_budgets(), config.budgets["ngram_max"])
+    for section in SECTIONS:
+        rows = models[section].transform(rows)
+    return rows.select("report_id", "target", "split", *[f"tfidf_{s}" for s in SECTIONS]), {s: models[s].stages[1].vocabulary for s in SECTIONS}
 
 
-def long_weights(df, vocabulary: list[str], *keep: str):
-    """(keep..., term, weight) of a sparse vector; the vocabulary is bounded by the section budget."""
-    v = F.unwrap_udt("vec")
-    terms = F.array(*[F.lit(t) for t in vocabulary])
-    cells = df.select(*keep, F.inline(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("weight"))))
-    return cells.select(*keep, F.element_at(terms, F.col("i") + 1).alias("term"), "weight")
+def text_vectors(spark, sf, config: RunConfig = FAST):
+    """(report_id, target, split, terms, weights): all sections side by side as one unit vector."""
+    rows, vocabularies = fitted_sections(spark, sf, config)
+    sizes = [len(vocabularies[s]) for s in SECTIONS]
+    terms, weights = sparse_unit([(f"tfidf_{s}", sum(sizes[:i])) for i, s in enumerate(SECTIONS)])
+    return rows.select("report_id", "target", "split", terms.alias("terms"), weights.alias("weights"))
 
 
-@query("tfidf_topterms", lambda: f"WITH {weights_sql('effect')} SELECT report_id, rank, term, round(weight, 6) AS weight FROM "
-       "(SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY round(weight, 9) DESC, term) AS rank FROM w) WHERE rank <= 5")
+def long_weights(rows, vocabularies: dict[str, list[str]], *keep: str):
+    """(keep..., section, term, weight) of the sections' sparse vectors. Terms come from a table that the vocabularies' budgets bound."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(s, i, t) for s, words in vocabularies.items() for i, t in enumerate(words)], "section string, i int, term string")
+
+    def cells(section):
+        v = F.unwrap_udt(f"tfidf_{section}")
+        return F.transform(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("weight")), lambda e: F.struct(F.lit(section).alias("section"), e["i"].alias("i"), e["weight"].alias("weight")))
+
+    return rows.select(*keep, F.inline(F.concat(*map(cells, vocabularies)))).join(F.broadcast(names), ["section", "i"]).drop("i")
+
+
+@query("tfidf_topterms", lambda: f"WITH {weights_sql()} SELECT report_id, section, rank, term, round(part, 6) AS weight FROM "
+       "(SELECT *, row_number() OVER (PARTITION BY report_id, section ORDER BY round(part, 9) DESC, term) AS rank FROM w) WHERE rank <= 5")
 def _topterms(spark, sf):
-    from ..operators.similarity import best_k
-    vectors, model = fitted_section(spark, sf, "effect")
-    weights = long_weights(vectors, model.stages[1].vocabulary, "report_id")
-    top = best_k(weights, ["report_id"], 5, F.desc(F.round("weight", 9)), F.col("term"))
-    return top.select("report_id", "rank", "term", F.round("weight", 6).alias("weight"))
+    rows, vocabularies = fitted_sections(spark, sf)
+    weights = long_weights(rows, vocabularies, "report_id")
+    top = best_k(weights, ["report_id", "section"], 5, F.desc(F.round("weight", 9)), F.col("term"))
+    return top.select("report_id", "section", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
 # ---------------------------------------------------------------- scaling and encoding
