@@ -69,3 +69,22 @@ def test_smote_takes_string_classes(spark):
     rows = [(i, [float(x) for x in rng.normal(size=3)], "big" if i < 20 else "small") for i in range(26)]
     got = smote(spark.createDataFrame(rows, "id long, v array<double>, y string"), "id", "v", "y").collect()
     assert len(got) == 14 and {r.y for r in got} == {"small"} and all(r.neighbour_id >= 20 for r in got)
+
+
+def test_bounds_rule_out_blocks_of_clustered_vectors(spark):
+    """40 clusters in 16 dimensions: the exact three nearest from a small part of the blocks."""
+    from faultline.operators import dense_topk as D
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist(), i % 2) for i in range(1600)]
+    asks = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).tolist(), i % 2) for i in range(80)]
+    frame = lambda r: spark.createDataFrame(r, "rep long, vec array<double>, grp int")
+    found = D.nearest(frame(asks), frame(rows), 3, D.SQUARED, block=16)
+    got = {}
+    for r in found.pairs.collect():
+        got.setdefault(r.query, []).append((r["rank"], r.match))
+    for q, vec, grp in asks:
+        d = sorted((round(float(((np.array(vec) - v) ** 2).sum()), 9), i) for i, v, g in rows if g == grp)[:3]
+        assert [m for _, m in sorted(got[q])] == [i for _, i in d]
+    assert found.visited < 0.25 * found.possible
