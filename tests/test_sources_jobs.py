@@ -71,3 +71,38 @@ def test_surplus_fields_drop_a_row_even_when_empty(spark, tmp_path):
     path.write_text('General.Eriref,General.Heading,other\nH1,a,b\nH2,a,b,\nH3,a\nH4,"x\ny",b,,\nH5,"p\nq",b\nH6,a,b,c\n', encoding="ISO-8859-1")
     rows = {r["report_id"]: r["heading"] for r in read_reports_csv(spark, str(path)).collect()}
     assert rows == {"H1": "a", "H3": "a", "H5": "p\nq"}
+
+
+def test_csv_is_cut_into_many_ranges(spark, tmp_path):
+    """Ranges of 400 bytes: quotes and newlines across borders, fields longer than a range, stray quotes, several files."""
+    import csv
+    import random
+
+    rng = random.Random(4)
+    kinds = [lambda i: f"plain {i}", lambda i: 'say ""hi""' * rng.randrange(4), lambda i: "two\nlines, and\n\nmore", lambda i: "x" * rng.randrange(700),
+             lambda i: "\n".join('"quoted", line' for _ in range(rng.randrange(60))), lambda i: 'inch 5"', lambda i: "", lambda i: '",\n"']
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for name in ("a.csv", "b.csv", "c.csv"):
+        rows = [(f"{name}{i}", kinds[rng.randrange(len(kinds))](i), str(i)) for i in range(40)]
+        with open(folder / name, "w", newline="", encoding="ISO-8859-1") as f:
+            f.write("General.Eriref,General.Heading,other\n")
+            writer = csv.writer(f, lineterminator="\n")
+            for n, r in enumerate(rows):
+                f.write(f'{r[0]},5" pipe,{r[2]}\n') if n % 20 == 7 else writer.writerow(r)
+        want += [(r[0], '5" pipe' if n % 20 == 7 else r[1] or None, r[2]) for n, r in enumerate(rows)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = read_reports_csv(spark, str(folder))
+        many = df.orderBy("ingest_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    one = read_reports_csv(spark, str(folder)).orderBy("ingest_pos").collect()
+    assert len({r.ingest_pos >> 33 for r in many}) > 20 and len({r.ingest_pos >> 33 for r in one}) == 3
+    for got in (many, one):
+        assert [(r.report_id, r.heading, r.other) for r in got] == want
