@@ -250,3 +250,30 @@ def test_bpe_encode_then_decode(docs):
     ids = transducer.encode(docs, lexicon)
     decoded = Counter((r["doc_id"], r["text"]) for r in transducer.decode(ids, lexicon).collect())
     assert decoded == Counter((r[0], load(tokenizer_path()).decode(library_ids(r[1]), skip_special_tokens=False)) for r in documents())
+
+
+def test_pairs_stay_together_at_depth(spark):
+    """Of 150 pairs at a similarity of 0.75 to 0.78, the share that some tree still holds in one node ten levels down."""
+    rng = random.Random(12)
+    rows, similarity = [], []
+    for pair in range(150):
+        a = [f"p{pair}w{i}" for i in range(200)]
+        b = list(a)
+        for i in range(5):
+            b[20 + 35 * i] = f"p{pair}x{i}"
+        for k, text in enumerate((a, b)):
+            sh = near_dedup.shingle_set(" ".join(text).encode())
+            rows.append((2 * pair + k, near_dedup.minwise(sh).tolist(), len(sh)))
+        x, y = (shingles(" ".join(t)) for t in (a, b))
+        similarity.append(len(x & y) / len(x | y))
+    assert 0.75 <= min(similarity) and max(similarity) < 0.78
+    rng.shuffle(rows)
+    classes = spark.createDataFrame(rows, "id long, tokens array<int>, n_shingles long").persist()
+    level = near_dedup._roots(classes)
+    for depth in range(10):
+        level = near_dedup.checkpoint(near_dedup._children(level, classes))
+        together = level.groupBy("node").agg(near_dedup.F.count("*").alias("n"), near_dedup.F.max("id").alias("m")).filter("n > 1")
+        level = near_dedup.checkpoint(level.join(together.select("node"), "node"))
+    found = {r.m // 2 for r in together.select("m").distinct().collect()}
+    assert all(bin(r.used).count("1") == 10 for r in level.select("used").distinct().limit(50).collect())
+    assert len(found) >= 0.95 * 150
