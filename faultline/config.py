@@ -82,6 +82,7 @@ class RunConfig:
     c: float = 1.0
     max_features: int | None = None      # None: taken from the run mode
     slow_models: bool | None = None      # None: taken from the run mode
+    calibrate: bool = False              # True: a best model without probabilities is calibrated, so that scoring has a confidence
     strict_dates: bool = False           # True: date features do not accept the ' - ' date form
     csv_encoding: str = "ISO-8859-1"
 

@@ -18,6 +18,7 @@ from .evaluation import metrics
 from .features import UNKNOWN_LABEL, feature_column
 from .joint_softmax import fit_softmax
 from .linear_svm import LinearSVMModel, Problem, expand_binary, fit_linear_svm, fit_problems, one_vs_rest, score_margins, training_rows
+from .saved import SavedModel, integers
 
 TEXT, ALL = "TF-IDF only", "TF-IDF + All"
 RESULT_SCHEMA = ("name string, model string, feature_set string, val_accuracy double, macro_f1 double, weighted_f1 double, "
@@ -123,26 +124,28 @@ def argmax_of(scores, start, length):
 
 # ---------------------------------------------------------------- two stages
 
-class TwoStageModel:
+class TwoStageModel(SavedModel):
     """Stage 1 predicts the unit, stage 2 the team within the unit; units without a stage-2 model use
-    the flat model."""
+    the flat model. `slices` has, per unit with a model, its place in `classes` and the number of its classes."""
 
-    def __init__(self, unit_model, units, team_weights, team_slices, team_classes, fallback):
-        self.unit_model, self.units = unit_model, units
-        self.team_weights, self.slices, self.classes, self.fallback = team_weights, team_slices, team_classes, fallback
+    ARRAYS, SETTINGS, MODELS = ("team_weights",), ("units", "slices", "classes"), ("unit_model", "fallback")
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def __init__(self, unit_model=None, units=None, team_weights=None, slices=None, classes=None, fallback=None):
+        super().__init__()
+        self.unit_model, self.units, self.team_weights = unit_model, units, team_weights
+        self.slices, self.classes, self.fallback = {int(u): tuple(v) for u, v in (slices or {}).items()}, classes, fallback
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         flat = self.fallback.transform(df).withColumnRenamed("prediction", "_flat")
         flat = flat.drop(*[c for c in flat.columns if c in ("rawPrediction", "probability")])
         staged = self.unit_model.transform(flat).withColumnRenamed("prediction", "_unit").drop("rawPrediction")
         if self.team_weights is None:
             return staged.withColumnRenamed("_flat", "prediction")
-        ints = lambda values: F.array(*[F.lit(int(v)) for v in values])
         unit = F.col("_unit").cast("int") + 1
-        start = F.element_at(ints([self.slices.get(u, (0, 0))[0] for u in range(len(self.units))]), unit)
-        length = F.element_at(ints([self.slices.get(u, (0, 0))[1] for u in range(len(self.units))]), unit)
+        start = F.element_at(integers([self.slices.get(u, (0, 0))[0] for u in range(len(self.units))]), unit)
+        length = F.element_at(integers([self.slices.get(u, (0, 0))[1] for u in range(len(self.units))]), unit)
         best = argmax_of(F.col("_team_scores"), start, length)
-        team = F.element_at(ints(self.classes), (start + best + 1).cast("int")).cast("double")
+        team = F.element_at(integers(self.classes), (start + best + 1).cast("int")).cast("double")
         scored = score_margins(staged, "text_vec", self.team_weights, "_team_scores")
         return scored.withColumn("prediction", F.when(length > 0, team).otherwise(F.col("_flat"))).drop("_team_scores", "_flat")
 
@@ -189,13 +192,12 @@ def fit_two_stage(df: DataFrame, n_classes: int, fallback, unit: str = "unit", m
         rows.unpersist()
     model = TwoStageModel(unit_model, units, team_weights, slices, classes, fallback)
     if report:
-        ints = lambda values: F.array(*[F.lit(int(v)) for v in values])
-        start = F.element_at(ints([slices.get(u, (0, 0))[0] for u in range(len(units))]), F.col("_unit_index") + 1)
-        length = F.element_at(ints([slices.get(u, (0, 0))[1] for u in range(len(units))]), F.col("_unit_index") + 1)
+        start = F.element_at(integers([slices.get(u, (0, 0))[0] for u in range(len(units))]), F.col("_unit_index") + 1)
+        length = F.element_at(integers([slices.get(u, (0, 0))[1] for u in range(len(units))]), F.col("_unit_index") + 1)
         val = score_margins(placed.filter((F.col("split") == "val") & F.col(unit).isNotNull() & F.col("_unit_index").isin(list(slices))),
                             "text_vec", team_weights, "_s")
-        known = F.array_contains(F.slice(ints(classes), start + 1, length), F.col("label_index").cast("int"))
-        team = F.element_at(ints(classes), (start + argmax_of(F.col("_s"), start, length) + 1).cast("int"))
+        known = F.array_contains(F.slice(integers(classes), start + 1, length), F.col("label_index").cast("int"))
+        team = F.element_at(integers(classes), (start + argmax_of(F.col("_s"), start, length) + 1).cast("int"))
         acc = {r["_unit_index"]: r.acc for r in val.filter(known).groupBy("_unit_index")
                .agg(F.avg((team == F.col("label_index").cast("int")).cast("double")).alias("acc")).collect()}
         for r in report:
