@@ -3,12 +3,16 @@ is no SQL for them, so tests check them against brute force on small data."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import evaluation as E
 from ..operators.calibration import fit_calibrated_svm
+from ..operators.cases import Spec
 from ..operators.confidence import gate_report
 from ..operators.features import cumulative_texts, feature_column, featurise, fit_features, label_indexer
 from ..operators.linear_svm import fit_linear_svm
@@ -89,8 +93,11 @@ def _scored(data, model, name: str, splits=("val", "test")):
 
 @query("learning_curve")
 def _curve(spark, sf):
+    """Of the best baseline, on its feature set."""
     data = _vectors(spark, sf)
-    rows = learning_curve(data.split("train"), feature_column(ALL), data.n_classes, CONFIG)
+    results, fitted = compare_baselines(data.vectors, data.n_classes, CONFIG)
+    best = next(r for r in results if r["name"] in fitted)
+    rows = learning_curve(data.split("train"), feature_column(best["feature_set"]), data.n_classes, CONFIG, spec=Spec(best["model"], CONFIG.c))
     frame = _frame(spark, rows, "share double, train_rows long, train_mean double, train_std double, val_mean double, val_std double")
     return E.bias_variance(frame, "train_mean", "val_mean")
 
@@ -109,6 +116,15 @@ def _grid_logistic(spark, sf):
     return _frame(spark, found.rows, "c double, penalty string, balanced boolean, cv_accuracy double")
 
 
+def _tuned(data):
+    """Name and grid result of the tuned model with the higher validation accuracy."""
+    chosen = []
+    for search in (grid_search_svm, grid_search_logistic):
+        grid = search(data.split("train"), feature_column(ALL), data.n_classes, CONFIG)
+        chosen.append((grid, E.metrics(_scored(data, grid.model, "tuned", ("val",))).first()["accuracy"]))
+    return better_tuned(*chosen)[:2]
+
+
 @query("forward_selection")
 def _forward(spark, sf):
     data = _vectors(spark, sf)
@@ -122,7 +138,7 @@ def _forward(spark, sf):
         frame = models[s].transform(frame)
     frame = frame.select("report_id", *[F.col(f"tfidf_{s}").alias(s) for s in steps])
     blocks = data.vectors.select("report_id", "split", "label_index", "priority_vec", "categorical_vec", "numeric_vec", "engineered_cat_vec")
-    rows = forward_selection(checkpoint(blocks.join(frame, "report_id")), data.n_classes)
+    rows = forward_selection(checkpoint(blocks.join(frame, "report_id")), data.n_classes, _tuned(data)[1].spec(), CONFIG)
     return E.marginal_gain(_frame(spark, rows, "step long, feature_set string, val_accuracy double"), "step", "val_accuracy")
 
 
@@ -172,11 +188,7 @@ def _final(spark, sf):
     data = _vectors(spark, sf)
     rows, fitted = compare_baselines(data.vectors, data.n_classes, CONFIG)
     base = result_frame(spark, rows).withColumn("type", F.lit("baseline"))
-    chosen = []
-    for search in (grid_search_svm, grid_search_logistic):
-        grid = search(data.split("train"), feature_column(ALL), data.n_classes, CONFIG)
-        chosen.append((grid, E.metrics(_scored(data, grid.model, "tuned", ("val",))).first()["accuracy"]))
-    tuned_name, winner, _ = better_tuned(*chosen)
+    tuned_name, winner = _tuned(data)
     tuned = winner.model
     best = next(r["name"] for r in rows if r["name"] in fitted)
     two, _ = fit_two_stage(data.vectors, data.n_classes, fitted[best])
@@ -191,7 +203,9 @@ def _final(spark, sf):
     emb_row = E.metrics(emb_metrics).groupBy(F.col("model").alias("name")).agg(pick("val").alias("val_accuracy"), pick("test").alias("test_accuracy"))
     emb_row = emb_row.withColumns({"type": F.lit("embedding"), "feature_set": F.lit("embedding")})
     keep = ["name", "type", "feature_set", "val_accuracy", "test_accuracy"]
-    return E.final_comparison(base.withColumn("test_accuracy", F.lit(None).cast("double")).select(*keep), others.select(*keep), emb_row.select(*keep))
+    tested = reduce(DataFrame.unionByName, [_scored(data, model, name, ("test",)) for name, model in fitted.items()])
+    on_test = E.metrics(tested).select(F.col("model").alias("name"), F.col("accuracy").alias("test_accuracy"))
+    return E.final_comparison(base.join(on_test, "name", "left").select(*keep), others.select(*keep), emb_row.select(*keep))
 
 
 @query("hybrid_features")
