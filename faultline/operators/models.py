@@ -9,7 +9,7 @@ import time
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from .evaluation import metrics
 from .features import UNKNOWN_LABEL, feature_column
 from .joint_softmax import fit_softmax
 from .linear_svm import LinearSVMModel, Problem, expand_binary, fit_linear_svm, fit_problems, one_vs_rest, score_margins, training_rows
+from .network import fit_network
 from .saved import SavedModel, integers
 
 TEXT, ALL = "TF-IDF only", "TF-IDF + All"
@@ -54,7 +55,7 @@ def fit_model(model: str, train: DataFrame, features: str, n_classes: int, confi
     elif model == "Random Forest":
         est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", seed=config.seed, maxDepth=config.forest_depth, **shape)
     elif model == "MLP":
-        est = MultilayerPerceptronClassifier(layers=[width(), 128, n_classes], maxIter=200, seed=config.seed, **shape)
+        return PipelineModel([fit_network(train, features, label, width(), n_classes, seed=config.seed)])
     else:
         raise ValueError(f"unknown model {model!r}")
     return PipelineModel([est.fit(train)])
