@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, prepare, whole_text
-from .tokens import DEFAULT_FILE, WordEncoder, load, tokenizer_path
+from .tokens import DEFAULT_FILE, WordEncoder, by_word, load, tokenizer_path
 
 #: Bounds of the broadcast table: so many words of so many bytes at most, hence below 1 MB.
 TABLE_WORDS, WORD_BYTES = 8192, 64
@@ -78,18 +78,6 @@ def _worker_counts(path: str) -> WordCounts:
     return WordCounts(path)
 
 
-def by_word(path: str) -> bool:
-    """Whether this tokenizer's ids are those of its words in turn: white space is dropped and nothing joins across it."""
-    if path.endswith(".model"):
-        return False
-    tokenizer = load(path)
-    if tokenizer.pre_tokenizer is None or tokenizer.post_processor is not None:
-        return False
-    probe = "a b\n c"
-    seen = tokenizer.normalizer.normalize_str(probe) if tokenizer.normalizer else probe
-    return [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(seen)] == ["a", "b", "c"]
-
-
 def _whole_text_counter(path: str):
     if path.endswith(".model"):
         import sentencepiece

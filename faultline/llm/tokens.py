@@ -1,7 +1,7 @@
 """Exact encoding by word with worker caches.
 
-No pre-token of the tokenizer files used here spans ASCII white space, and neither normalisation nor merging looks past
-it, so a text's ids are those of its words in order. A word is a run without ASCII white space; each is encoded once per
+Where no pre-token of a tokenizer spans ASCII white space (`by_word`), and neither normalisation nor merging looks past
+it, a text's ids are those of its words in order; other tokenizers encode whole texts. A word is a run without ASCII white space; each is encoded once per
 worker and cache life."""
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Letters that lower-casing, composition and the splitter treat alike everywhere, then marks that form one pre-token.
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:#$%&*|]*)")
+_SIMPLE_CHARACTERS = re.compile(r"[a-zß-öø-ÿ.,!?;:#$%&*|]+")
 
 
 def tokenizer_path(name_or_path: str = DEFAULT_FILE) -> str:
@@ -44,13 +45,27 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in stays)}
 
 
+def by_word(path: str) -> bool:
+    """Whether this tokenizer's ids are those of its words in turn: white space is dropped and nothing joins across it."""
+    if path.endswith(".model"):
+        return False
+    tokenizer = load(path)
+    if tokenizer.pre_tokenizer is None or tokenizer.post_processor is not None:
+        return False
+    if any(len(t.content.split()) != 1 for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    probe = "a b\n c"
+    seen = tokenizer.normalizer.normalize_str(probe) if tokenizer.normalizer else probe
+    return [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(seen)] == ["a", "b", "c"]
+
+
 class WordEncoder(dict):
     """word (UTF-8 bytes) -> `make`(ids). Call `trim` between documents: two generations of at most `limit` words stay, so
     that words in use survive and memory is bounded whatever the corpus."""
 
     def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = 250_000):
         super().__init__()
-        self.tokenizer, self.make, self.limit = load(path), make, limit
+        self.tokenizer, self.make, self.limit, self.by_word = load(path), make, limit, by_word(path)
         self.older: dict[bytes, object] = {}
         self.parts: dict[str, list[int]] = {}
         self.symbols = byte_symbols()
@@ -59,6 +74,8 @@ class WordEncoder(dict):
     def _is_word_bpe(self) -> bool:
         """Whether a lower-cased Latin word and the marks after it are separate byte-level pre-tokens here."""
         t = self.tokenizer
+        if any(_SIMPLE_CHARACTERS.fullmatch(a.content.lower()) for a in t.get_added_tokens_decoder().values()):
+            return False
         if t.normalizer is None or t.pre_tokenizer is None or t.post_processor is not None or t.normalizer.normalize_str("AÉ") != "aé":
             return False
         split = [p for p, _ in t.pre_tokenizer.pre_tokenize_str("ab.,#")] == ["ab", ".,#"]
@@ -108,7 +125,9 @@ def worker_encoder(path: str) -> WordEncoder:
 
 
 def id_bytes(cache: WordEncoder, text: bytes, end: int = END_ID) -> bytes:
-    """Little-endian unsigned 32-bit ids of a whole text and the end id."""
+    """Little-endian unsigned 32-bit ids of a whole text and the end id. A tokenizer that joins across white space gets the text whole."""
+    if not cache.by_word:
+        return as_uint32(cache.tokenizer.encode(text.decode(), add_special_tokens=False).ids) + end.to_bytes(4, "little")
     cache.trim()
     return b"".join(map(cache.__getitem__, text.split())) + end.to_bytes(4, "little")
 

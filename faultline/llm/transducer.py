@@ -176,7 +176,10 @@ class Codec:
         self.tokens = None if tokenizer.decoder is not None else [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
     def encode_batch(self, texts: list[bytes], at_once: int = 128) -> list[np.ndarray]:
-        """Ids of every text; so many texts at a time stand as lists of words in memory."""
+        """Ids of every text; so many texts at a time stand as lists of words in memory. A tokenizer that joins across white space
+        gets whole texts, which the automaton of words cannot serve."""
+        if not self.merger.by_word:
+            return [np.array(self.merger.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4") for t in texts]
         return [ids for at in range(0, len(texts), at_once) for ids in self._encode(texts[at:at + at_once])]
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -277,3 +277,16 @@ def test_pairs_stay_together_at_depth(spark):
     found = {r.m // 2 for r in together.select("m").distinct().collect()}
     assert all(bin(r.used).count("1") == 10 for r in level.select("used").distinct().limit(50).collect())
     assert len(found) >= 0.95 * 150
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_its_librarys_ids(spark, name):
+    """A tokenizer whose tokens reach over white space encodes whole texts in packing, token files and round trips."""
+    texts = ["four plain words here", " lead  two\n\nlines\t", "", "Ünï code, 日本 x.", "a <|endoftext|> b"]
+    tokenizer = load(tokenizer_path(name))
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    crc = {i: zlib.crc32(np.array([*x, 1], "<u4").tobytes()) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(docs, tokenizer=name).collect()} == crc
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in transducer.digests(docs, name).collect()}
+    assert got == {i: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in enumerate(ids)}
