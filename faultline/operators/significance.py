@@ -63,26 +63,32 @@ def _interval(weights: np.ndarray, hit: np.ndarray, truth: np.ndarray, pred: np.
             "macro_f1": f1.sum(axis=1) / np.maximum(present.sum(axis=1), 1)}
 
 
-def bootstrap_ci(predictions: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_ci(predictions: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95, chunk: int = 100) -> DataFrame:
     """Percentile intervals of accuracy and macro F1 per model.
 
     Both metrics depend on the rows only through the confusion table, and drawing n rows with
-    replacement draws that table from a multinomial. So the rows are counted once by Spark and each
-    model's table (at most classes x classes rows) is resampled."""
+    replacement draws that table from a multinomial. So the rows are counted once by Spark, and each model's table (at most
+    classes x classes cells) is resampled in tasks of `chunk` draws. A draw has a random stream of its own, so the chunks do not
+    matter; every draw comes back as two numbers, and the percentiles are taken over all of them."""
     cells = predictions.groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    tail = (1 - level) / 2 * 100
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["label", "prediction"])
-        classes, codes = np.unique(np.concatenate([pdf.label, pdf.prediction]).astype(str), return_inverse=True)
-        truth, pred = codes[:len(pdf)], codes[len(pdf):]
-        hit, n, model = (truth == pred).astype(float), pdf.n.to_numpy(), pdf.model.iloc[0]
-        rng = np.random.default_rng([seed, zlib.crc32(str(model).encode())])
-        draws = rng.multinomial(n.sum(), n / n.sum(), size=resamples).astype(float)
-        point = _interval(n[None, :].astype(float), hit, truth, pred, len(classes))
-        drawn = _interval(draws, hit, truth, pred, len(classes))
-        return pd.DataFrame([(model, m, float(point[m][0]), float(np.percentile(drawn[m], tail)), float(np.percentile(drawn[m], 100 - tail)), resamples)
-                             for m in ("accuracy", "macro_f1")], columns=["model", "metric", "value", "low", "high", "resamples"])
-
-    return cells.groupBy("model").applyInPandas(
-        resample, "model string, metric string, value double, low double, high double, resamples long")
+    tables = cells.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("label", "prediction", "n"))).alias("cells"))
+    chunks = tables.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(chunk)))).repartition("model", "first")
+
+    def resample(frames):
+        for pdf in frames:
+            for model, held, first in zip(pdf.model, pdf.cells, pdf["first"]):
+                label, prediction, n = ([c[name] for c in held] for name in ("label", "prediction", "n"))
+                classes, codes = np.unique(np.array([*label, *prediction]).astype(str), return_inverse=True)
+                truth, pred, n = codes[:len(label)], codes[len(label):], np.array(n)
+                own = range(first, min(first + chunk, resamples))
+                stream = lambda d: np.random.default_rng([seed, zlib.crc32(str(model).encode()), d])
+                draws = [stream(d).multinomial(n.sum(), n / n.sum()) for d in own]
+                found = _interval(np.array([*draws, n], float), (truth == pred).astype(float), truth, pred, len(classes))
+                number = [*own, -1] if first == 0 else [*own]               # -1: the table itself
+                yield pd.DataFrame({"model": model, "draw": number, "accuracy": found["accuracy"][:len(number)], "macro_f1": found["macro_f1"][:len(number)]})
+
+    rows = chunks.mapInPandas(resample, "model string, draw int, accuracy double, macro_f1 double")
+    tail, drawn = (1 - level) / 2, F.col("draw") >= 0
+    numbers = lambda m: F.struct(F.lit(m).alias("metric"), F.max(F.when(~drawn, F.col(m))).alias("value"), F.percentile(F.when(drawn, F.col(m)), tail).alias("low"),
+                                 F.percentile(F.when(drawn, F.col(m)), 1 - tail).alias("high"), F.count(F.when(drawn, 1)).alias("resamples"))
+    return rows.groupBy("model").agg(F.array(numbers("accuracy"), numbers("macro_f1")).alias("found")).select("model", F.inline("found"))

@@ -106,3 +106,8 @@ def test_missing_confidence_is_the_lowest(spark):
 def test_exact_p_of_a_lopsided_table_is_fast():
     from faultline.operators.significance import _two_sided_binomial
     assert _two_sided_binomial(1_200_000, 800_000) == 0.0 and abs(_two_sided_binomial(5, 1) - 0.21875) < 1e-12
+
+
+def test_bootstrap_does_not_depend_on_chunks(predictions):
+    rows = lambda chunk: sorted(map(tuple, G.bootstrap_ci(predictions, resamples=60, chunk=chunk).collect()))
+    assert rows(60) == rows(7) and {r[-1] for r in rows(7)} == {60}
