@@ -7,6 +7,7 @@ worker and cache life."""
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 import struct
@@ -17,8 +18,11 @@ DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Letters that lower-casing, composition and the splitter treat alike everywhere, then marks that form one pre-token.
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:#$%&*|]*)")
+_MARKS = b".,!?;:#$%&*|"
 _SIMPLE_CHARACTERS = re.compile(r"[a-zß-öø-ÿ.,!?;:#$%&*|]+")
 
+_token_id = operator.attrgetter("id")
+
 
 def tokenizer_path(name_or_path: str = DEFAULT_FILE) -> str:
     """A path as it is; a bare file name is looked up among the public tokenizer files."""
@@ -63,12 +67,12 @@ class WordEncoder(dict):
     """word (UTF-8 bytes) -> `make`(ids). Call `trim` between documents: two generations of at most `limit` words stay, so
     that words in use survive and memory is bounded whatever the corpus."""
 
-    def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = 250_000):
+    def __init__(self, path: str, make: Callable[[list[int]], object], limit: int = 500_000):
         super().__init__()
         self.tokenizer, self.make, self.limit, self.by_word = load(path), make, limit, by_word(path)
         self.older: dict[bytes, object] = {}
         self.parts: dict[str, list[int]] = {}
-        self.symbols = byte_symbols()
+        self.symbols, self.model = byte_symbols(), self.tokenizer.model
         self.fast = self._is_word_bpe()
 
     def _is_word_bpe(self) -> bool:
@@ -84,7 +88,7 @@ class WordEncoder(dict):
     def _merged(self, text: str) -> list[int]:
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.symbols)
-        return [t.id for t in self.tokenizer.model.tokenize(text)]
+        return list(map(_token_id, self.model.tokenize(text)))
 
     def _part(self, text: str) -> list[int]:
         ids = self.parts.get(text)
@@ -93,6 +97,11 @@ class WordEncoder(dict):
         return ids
 
     def encode_word(self, word: bytes) -> list[int]:
+        if self.fast and word.isascii():
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                ids = self._part(stem.lower().decode())
+                return ids + self._part(word[len(stem):].decode()) if len(stem) < len(word) else ids
         text = word.decode()
         simple = _SIMPLE.fullmatch(text.lower()) if self.fast else None
         if simple is None:
@@ -114,8 +123,12 @@ class WordEncoder(dict):
             self.parts.clear()
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def as_uint32(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _PACKERS[n](*ids) if n < len(_PACKERS) else struct.pack(f"<{n}I", *ids)
 
 
 @functools.lru_cache(maxsize=2)

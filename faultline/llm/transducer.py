@@ -170,9 +170,10 @@ class Lexicon:
 class Codec:
     """Encodes and decodes whole texts. Words seen lately stay at hand, in two generations of at most `limit`."""
 
-    def __init__(self, lexicon: Lexicon, path: str, limit: int = 120_000):
+    def __init__(self, lexicon: Lexicon, path: str, limit: int = 250_000):
         self.lexicon, self.merger, self.limit, self.known, self.older = lexicon, WordEncoder(path, as_uint32, limit), limit, {}, {}
         tokenizer = self.merger.tokenizer
+        self.decimals = [str(i) for i in range(tokenizer.get_vocab_size())]
         self.tokens = None if tokenizer.decoder is not None else [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
     def encode_batch(self, texts: list[bytes], at_once: int = 128) -> list[np.ndarray]:
@@ -201,6 +202,10 @@ class Codec:
             return self.merger.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def decimal(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by one space."""
+        return " ".join(map(self.decimals.__getitem__, ids.tolist()))
+
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
     """The corpus' most frequent words, counted over all documents; counts are combined in the tasks before the shuffle."""
@@ -270,7 +275,7 @@ def digests(docs: DataFrame, tokenizer: str = DEFAULT_FILE, key: str = "doc_id",
             out = {"key": batch["key"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for ids in codec.encode_batch(batch["text"]):
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(codec.decimal(ids).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             yield out
 
