@@ -6,13 +6,18 @@ worker and cache life."""
 
 from __future__ import annotations
 
+import codecs
 import functools
 import operator
 import os
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -71,8 +76,9 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer, self.make, self.limit, self.by_word = load(path), make, limit, by_word(path)
         self.older: dict[bytes, object] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.symbols, self.model = byte_symbols(), self.tokenizer.model
+        self.parts: dict[str | bytes, object] = {}
+        symbols, self.model = byte_symbols(), self.tokenizer.model
+        self.alphabet = "".join(symbols.get(b, chr(b)) for b in range(256))
         self.fast = self._is_word_bpe()
 
     def _is_word_bpe(self) -> bool:
@@ -85,10 +91,12 @@ class WordEncoder(dict):
         split = [p for p, _ in t.pre_tokenizer.pre_tokenize_str("ab.,#")] == ["ab", ".,#"]
         return split and self._merged("éüñ") == t.encode("éüñ", add_special_tokens=False).ids
 
+    def _tokens(self, text: str) -> list:
+        """The model's tokens of one pre-token."""
+        return self.model.tokenize(text if text.isascii() else codecs.charmap_decode(text.encode(), "strict", self.alphabet)[0])
+
     def _merged(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(self.symbols)
-        return list(map(_token_id, self.model.tokenize(text)))
+        return list(map(_token_id, self._tokens(text)))
 
     def _part(self, text: str) -> list[int]:
         ids = self.parts.get(text)
@@ -131,10 +139,44 @@ def as_uint32(ids: list[int]) -> bytes:
     return _PACKERS[n](*ids) if n < len(_PACKERS) else struct.pack(f"<{n}I", *ids)
 
 
+class PackedWords(WordEncoder):
+    """word -> little-endian ids. Ids of a word's parts are kept packed, so an unseen word of known parts is put together from bytes."""
+
+    def __init__(self, path: str):
+        super().__init__(path, as_uint32)
+
+    def _packed(self, part: str | bytes) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            tokens = self._tokens(part if isinstance(part, str) else part.decode())
+            found = self.parts[part] = _PACKERS[n](*map(_token_id, tokens)) if (n := len(tokens)) < len(_PACKERS) else as_uint32(list(map(_token_id, tokens)))
+        return found
+
+    def _made(self, word: bytes) -> bytes:
+        if not self.fast:
+            return as_uint32(self.encode_word(word))
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():  # of bytes: ASCII letters alone
+            found = self._packed(stem.lower())
+            return found if len(stem) == len(word) else found + self._packed(word[len(stem):])
+        simple = _SIMPLE.fullmatch(word.decode().lower())
+        if simple is None:
+            return as_uint32(self.encode_word(word))
+        stem, marks = simple.groups()
+        return self._packed(stem) + self._packed(marks) if marks else self._packed(stem)
+
+    def __missing__(self, word: bytes) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self._made(word)
+        self[word] = value
+        return value
+
+
 @functools.lru_cache(maxsize=2)
 def worker_encoder(path: str) -> WordEncoder:
     """A worker's encoder to little-endian ids; it outlives the task."""
-    return WordEncoder(path, as_uint32)
+    return PackedWords(path)
 
 
 def id_bytes(cache: WordEncoder, text: bytes, end: int = END_ID) -> bytes:
@@ -145,5 +187,36 @@ def id_bytes(cache: WordEncoder, text: bytes, end: int = END_ID) -> bytes:
     return b"".join(map(cache.__getitem__, text.split())) + end.to_bytes(4, "little")
 
 
+def encode_texts(cache: WordEncoder, texts: list[bytes], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some whole texts, the end id after each, and how many each text has. Every distinct word is looked up once;
+    Arrow lays the words' ids side by side."""
+    if not cache.by_word:
+        found = [id_bytes(cache, text, end) for text in texts]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(ids) // 4 for ids in found], np.int64)
+    cache.trim()
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    known = list(map(cache.__getitem__, coded.dictionary.cast(pa.large_binary()).to_pylist()))  # no word: no ids
+    bounds = words.offsets.to_numpy()
+    order = np.insert(coded.indices.to_numpy(), bounds[1:], len(known))
+    laid = pa.array([*known, end.to_bytes(4, "little")], pa.large_binary()).take(pa.array(order))
+    offsets = np.frombuffer(laid.buffers()[1], np.int64, len(order) + 1)
+    ids = np.frombuffer(laid.buffers()[2], "<u4", int(offsets[-1]) // 4) if len(order) else np.zeros(0, "<u4")
+    return ids, np.diff(offsets[bounds + np.arange(len(bounds))]) // 4
+
+
+def portions(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """The texts in turn, in lists that end with the text that brings them to `size` bytes."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
