@@ -3,10 +3,12 @@
 Pivots, four times the square root of the number of blocks, are drawn from the corpus. A row's cell is its nearest pivot;
 inside a cell rows are ordered by their second nearest pivot and their distance, and cut into blocks of like rows. A cell
 knows the range of its rows' distances from the pivot, a block its centroid and radius: by the triangle inequality both
-bound the distance from a query to any of its rows. A query first visits the blocks nearest to it in its nearest cell; the
-k-th distance found there rules out cells, then blocks; the rest is visited in order of the bound, which tightens as
-better rows are found. On data without any structure (many dimensions, no clusters) no bound rules out much, and nearly all
-blocks are visited; that is exact, but as dear as comparing all.
+bound the distance from a query to any of its rows. Cells are dealt to parts of a fixed number of numbers. A query goes to the
+part of its nearest cell first; the k-th distance found there rules out cells, and the query goes once to every part that has
+one left. In a part queries meet all blocks in one task, many queries together; each visits its blocks best first and leaves out
+those whose bound no longer reaches its k-th score. So a vector is sent once a part, never once a block, and pairs of a query
+and a block are never rows. On data without any structure (many dimensions, no clusters) no bound rules out much, and nearly
+all blocks are visited; that is exact, but as dear as comparing all.
 
 To the driver come the pivots and the cells' ranges: they grow with the square root of the corpus, times the groups."""
 
@@ -18,14 +20,17 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .best_first import search, split_visitors
+from .best_first import FACTOR, FIRST, best_k, split_visitors
 
-#: Rows of a block, queries that visit it together, and digits of a score (so that ties do not hang on the order of additions).
-BLOCK, VISITORS, DIGITS = 256, 1024, 9
+#: Rows of a block, and digits of a score (so that ties do not hang on the order of additions).
+BLOCK, DIGITS = 256, 9
+#: Numbers in the vectors of a part; queries that visit it together have half as many.
+CELLS = 1 << 20
 #: For rounding errors of a distance, and of a rounded score.
 NEAR, SLACK = 1e-7, 2e-9
 COSINE, SQUARED = "cosine", "squared"
@@ -92,20 +97,68 @@ def _blocks(corpus: DataFrame, pivots: np.ndarray, block: int, id_type: str) ->
     return ordered.mapInPandas(pack, ddl).withColumn("block", F.monotonically_increasing_id())
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, kind: str, block: int | None = None, pivots_wanted: int | None = None) -> Found:
+def _rows(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """As _matrix, without a Python number for each component."""
+    vectors = vectors.combine_chunks()
+    if vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != width).any():
+        raise ValueError(f"every vector needs {width} components")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    return q @ x.T if kind == COSINE else -(_distances(q, x) ** 2)
+
+
+def _visit_part(q: np.ndarray, least: np.ndarray, blocks: list[np.ndarray], places: list[np.ndarray], centroids: np.ndarray, radii: np.ndarray,
+                k: int, kind: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, places, visited): the k best rows of the blocks for each query, as far as they reach its `least`; the place of a
+    row is its rank by id, the smaller of equal scores comes first. Every query takes its blocks in order of their bound, more of
+    them each round."""
+    bound = _score_of(np.maximum(_distances(q, centroids) - radii, 0), kind)
+    turn = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+    best, at, floor = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max), least.copy()
+    visited, low, high = 0, 0, FIRST
+    while low < len(blocks):
+        for j, x in enumerate(blocks):
+            asking = np.flatnonzero((turn[:, j] >= low) & (turn[:, j] < high) & (bound[:, j] >= floor - SLACK))
+            visited += len(asking)
+            if not len(asking):
+                continue
+            s = _scores(q[asking], x, kind)
+            better = s.max(1) >= floor[asking] - SLACK
+            asking, s = asking[better], np.round(s[better], DIGITS) + 0.0
+            own = np.argsort(-s, axis=1, kind="stable")[:, :k]                 # rows are in order of id: the smaller of equals
+            scores, ids = np.hstack([best[asking], np.take_along_axis(s, own, 1)]), np.hstack([at[asking], places[j][own]])
+            order = np.lexsort((ids, -scores), axis=1)[:, :k]
+            best[asking], at[asking] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+            floor[asking] = np.maximum(floor[asking], best[asking, -1])
+        low, high = high, high * FACTOR
+    best[best < least[:, None] - SLACK] = -np.inf
+    return best, at, visited
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, kind: str, block: int | None = None, pivots_wanted: int | None = None, cells_of_part: int = CELLS) -> Found:
     """Both frames: rep, vec array<double>, grp int, one row per distinct vector. The k best rows of every query's group."""
     block = block or BLOCK
     id_type, query_type = dict(corpus.dtypes)["rep"], dict(queries.dtypes)["rep"]
     n = corpus.count()
     wanted = pivots_wanted or 4 * math.isqrt(-(-max(n, 1) // block))
     pivots = _matrix(pd.Series([r.vec for r in corpus.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()]))
-    found = f"query {query_type}, match {id_type}, score double"
     if not n:
         return Found(corpus.sparkSession.createDataFrame([], f"query {query_type}, rank int, match {id_type}, score double"), 0, 0)
+    width = pivots.shape[1]
     blocks = checkpoint(_blocks(corpus, pivots, block, id_type))
-    cells = {}
-    for r in blocks.groupBy("grp", "cell").agg(F.min("near").alias("near"), F.max("far").alias("far")).collect():
-        cells.setdefault(r.grp, []).append((r.cell, r.near, r.far))
+    # Cells are packed to parts in turn, none over two groups; a cell that is larger has several parts to itself.
+    part_rows, cells, dealt, part, room = max(block, cells_of_part // max(width, 1)), {}, [], -1, 0
+    found = blocks.groupBy("grp", "cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum(F.size("reps")).alias("n")).collect()
+    for r in sorted(found, key=lambda r: (r.grp, r.cell)):
+        own = cells.setdefault(r.grp, [])
+        if not own or r.n > room:
+            part, room = part + 1, part_rows
+        slots = -(-r.n // part_rows)
+        own.append((r.cell, r.near, r.far, part, slots))
+        dealt.append((r.grp, r.cell, part, slots))
+        part, room = part + slots - 1, room - r.n
     cells = {g: tuple(np.array(x) for x in zip(*rows)) for g, rows in cells.items()}
 
     def to_visit(nearest_only: bool):
@@ -115,64 +168,64 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, kind: str, block: int
             d = _distances(_matrix(vec), pivots) if len(vec) else None
             for g in grp.unique():
                 own = np.flatnonzero(grp.to_numpy() == g)
-                ids, near, far = cells.get(g, (np.empty(0, int),) * 3)
+                ids, near, far, first, slots = cells.get(g, (np.empty(0, int),) * 5)
+                if not len(ids):
+                    out[own] = [[]] * len(own)
+                    continue
                 at = d[np.ix_(own, ids)]
-                bound = _score_of(np.maximum(np.maximum(at - far, near - at), 0), kind)
-                reach = at == at.min(1, keepdims=True, initial=np.inf) if nearest_only else bound >= least.to_numpy()[own, None] - SLACK
+                if nearest_only:
+                    for i, home in zip(own, first[at.argmin(1)]):
+                        out[i] = [int(home)]
+                    continue
+                reach = _score_of(np.maximum(np.maximum(at - far, near - at), 0), kind) >= least.to_numpy()[own, None] - SLACK
                 for i, row in zip(own, reach):
-                    out[i] = ids[row].tolist()
+                    out[i] = sorted({p for a, n in zip(first[row].tolist(), slots[row].tolist()) for p in range(a, a + n)})
             return pd.Series(out)
         return udf
 
     asked = queries.select(F.col("rep").alias("query"), "vec", "grp")
-    outlines = blocks.select("grp", "cell", "block", "centroid", "radius")
-
-    def block_bounds(rows: DataFrame, nearest_only: bool) -> DataFrame:
-        """(query, block, bound, least) of the blocks of the cells that a query goes to. Queries of a cell meet its outlines in parts."""
-        pairs = rows.withColumn("cell", F.explode(to_visit(nearest_only)("vec", "grp", "least")))
-        number = (F.col("grp").cast("long") * len(pivots) + F.col("cell")).alias("block")
-        left, right = split_visitors(pairs.select("query", "vec", "least", number), outlines.select(number, F.col("block").alias("own"), "centroid", "radius"), VISITORS)
-        ddl = f"query {query_type}, block long, bound double, least double"
-        fields = _schema(ddl)
-
-        def bound(ask: pa.Table, cell: pa.Table) -> pa.Table:
-            if not ask.num_rows or not cell.num_rows:
-                return fields.empty_table()
-            centroids = np.stack([np.frombuffer(c) for c in cell.column("centroid").to_pylist()])
-            d = _distances(_matrix(ask.column("vec")), centroids) - cell.column("radius").to_numpy()[None, :]
-            least, b = ask.column("least").to_numpy(), _score_of(np.maximum(d, 0), kind)
-            if nearest_only:
-                b = b - np.maximum(d, 0) - 1e-3 * _distances(_matrix(ask.column("vec")), centroids)
-            i, j = np.nonzero((b >= least[:, None] - SLACK) | nearest_only)
-            names, ids = ask.column("query").combine_chunks(), cell.column("own").combine_chunks()
-            return pa.Table.from_arrays([names.take(pa.array(i)).cast(fields[0].type), ids.take(pa.array(j)), pa.array(b[i, j]), pa.array(least[i])], schema=fields)
-
-        keys = ["block", "part"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bound, ddl)
-
-    fields = _schema(found)
+    parts = F.broadcast(corpus.sparkSession.createDataFrame(dealt, "grp int, cell int, first int, slots int"))
+    of_part = (F.col("first") + F.pmod(F.xxhash64("block"), F.col("slots"))).cast("int").alias("block")
+    held = blocks.join(parts, ["grp", "cell"]).select(of_part, "reps", "rows", "centroid", "radius")
+    ddl = f"query {query_type}, match {id_type}, score double, visited long"
+    fields = _schema(ddl)
 
     def visit(pairs: DataFrame) -> DataFrame:
-        left, right = split_visitors(pairs, blocks.select("block", "reps", "rows"), VISITORS)
+        """The best of (query, vec, least, block) pairs, where block is a part, and a row with the number of visits for each task's group."""
+        left, right = split_visitors(pairs, held, max(block, cells_of_part // 2 // max(width, 1)))
 
-        def score(ask: pa.Table, held: pa.Table) -> pa.Table:
-            if not ask.num_rows or not held.num_rows:
+        def score(ask: pa.Table, own: pa.Table) -> pa.Table:
+            if not ask.num_rows or not own.num_rows:
                 return fields.empty_table()
-            q = _matrix(ask.column("vec"))
-            x = np.frombuffer(held.column("rows")[0].as_py()).reshape(-1, q.shape[1])
-            s = np.round(q @ x.T if kind == COSINE else -(_distances(q, x) ** 2), DIGITS) + 0.0
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]                # rows are in order of id: the smaller of equals
-            i, j = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-            names, ids = ask.column("query").combine_chunks(), held.column("reps").combine_chunks().flatten()
-            return pa.Table.from_arrays([names.take(pa.array(i)).cast(fields[0].type), ids.take(pa.array(j)).cast(fields[1].type), pa.array(s[i, j])], schema=fields)
+            ids = own.column("reps").combine_chunks().flatten()
+            place = np.empty(len(ids), np.int64)
+            by = pc.sort_indices(ids).to_numpy()
+            place[by] = np.arange(len(ids))
+            matrices = [np.frombuffer(r).reshape(-1, width) for r in own.column("rows").to_pylist()]
+            places = np.split(place, np.cumsum([len(x) for x in matrices])[:-1])
+            centroids = np.stack([np.frombuffer(c) for c in own.column("centroid").to_pylist()])
+            q = _rows(ask.column("vec"), width)
+            best, at, visited = _visit_part(q, ask.column("least").to_numpy(), matrices, places, centroids, own.column("radius").to_numpy(), k, kind)
+            i, j = np.nonzero(best > -np.inf)
+            names, matches = ask.column("query").combine_chunks().take(pa.array(i)), ids.take(pa.array(by[at[i, j]]))
+            columns = [names.cast(fields[0].type), matches.cast(fields[1].type), pa.array(best[i, j]), pa.nulls(len(i), pa.int64())]
+            count = [pa.nulls(1, f.type) for f in fields][:3] + [pa.array([visited], pa.int64())]
+            return pa.concat_tables([pa.Table.from_arrays(c, schema=fields) for c in (columns, count)])
 
         keys = ["block", "part"]
-        return left.join(asked.select("query", "vec"), "query").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, found)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, ddl)
 
     worst = -1e300
-    seeds = block_bounds(asked.withColumn("least", F.lit(worst)), True).select("query", "block", "bound")
-    best, visited = search(seeds, lambda reached: block_bounds(reached(asked), False), visit, k, worst, SLACK)
-    return Found(best, visited, asked.count() * blocks.count())
+    seen = checkpoint(asked.select("query", F.explode(to_visit(True)("vec", "grp", F.lit(worst))).alias("block")))
+    first = checkpoint(visit(asked.join(seen, "query").select("query", "vec", F.lit(worst).alias("least"), "block")))
+    ranked = lambda rows: best_k(rows.filter("visited is null").select("query", "match", "score"), ["query"], k, F.desc("score"), F.col("match"))
+    least = ranked(first).filter(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    going = asked.join(least, "query", "left").na.fill({"least": worst})
+    pairs = checkpoint(going.select("query", "least", F.explode(to_visit(False)("vec", "grp", "least")).alias("block")).join(seen, ["query", "block"], "left_anti"))
+    rest = checkpoint(visit(pairs.join(asked.select("query", "vec"), "query").select("query", "vec", "least", "block")))
+    both = first.unionByName(rest)
+    best = checkpoint(ranked(both))
+    return Found(best, both.agg(F.sum("visited")).first()[0] or 0, asked.count() * blocks.count())
 
 
 def _schema(ddl: str) -> pa.Schema:

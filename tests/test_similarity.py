@@ -88,3 +88,30 @@ def test_bounds_rule_out_blocks_of_clustered_vectors(spark):
         d = sorted((round(float(((np.array(vec) - v) ** 2).sum()), 9), i) for i, v, g in rows if g == grp)[:3]
         assert [m for _, m in sorted(got[q])] == [i for _, i in d]
     assert found.visited < 0.25 * found.possible
+
+
+@pytest.mark.parametrize("kind", ["cosine", "squared"])
+def test_a_query_is_sent_once_to_a_part_not_to_each_block(spark, kind):
+    """Vectors without structure: all blocks are visited, but what is sent grows with the parts; cells over many parts, two groups."""
+    from faultline.operators import dense_topk as D
+
+    rng = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    rows = [(i, unit(rng.normal(size=8)), i % 2) for i in range(400)]
+    asks = [(i, unit(rng.normal(size=8)), i % 2) for i in range(60)]
+    frame = lambda r: spark.createDataFrame(r, "rep long, vec array<double>, grp int")
+    sent, split = [], D.split_visitors
+    try:
+        D.split_visitors = lambda pairs, blocks, most: sent.append(pairs.select("query", "block").collect()) or split(pairs, blocks, most)
+        found = D.nearest(frame(asks), frame(rows), 3, kind, block=8, pivots_wanted=4, cells_of_part=8 * 40)
+    finally:
+        D.split_visitors = split
+    got = {}
+    for r in found.pairs.collect():
+        got.setdefault(r.query, []).append((r["rank"], r.match))
+    for q, vec, grp in asks:
+        score = lambda v: -float(np.dot(vec, v)) if kind == "cosine" else float(((np.array(vec) - v) ** 2).sum())
+        d = sorted((round(score(v), 9), i) for i, v, g in rows if g == grp)[:3]
+        assert [m for _, m in sorted(got[q])] == [i for _, i in d]
+    pairs = [tuple(r) for step in sent for r in step]
+    assert len(pairs) == len(set(pairs)) and len(pairs) < found.visited / 2
