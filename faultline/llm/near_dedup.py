@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 75
 TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 4096, 8
 #: A leaf's sets together hold at most so many shingles (32 MB), however long its documents are.
 LEAF_SHINGLES = 4_000_000
+#: Bits of a page of the bitmap of wanted rows, and of all its pages (16 MB).
+PAGE, MOST_BITS = 1 << 15, 1 << 27
 #: Least number of equal minwise tokens: five deviations under the mean at the threshold.
 LEAST_EQUAL = 21
 _RNG = np.random.default_rng(20240229)
@@ -207,13 +209,29 @@ def _pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch["a"], batch["b"])]
             yield {name: [x for x, ok in zip(batch[name], good) if ok] for name in ("u", "v")}
 
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    # Only the sets of the pairs' classes are sent.
+    met = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+    both = pairs.join(met.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(met.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     return map_batches(both.select("u", "v", "a", "b"), confirm, "u long, v long")
 
 
+def _likely(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that may be among rows (d, t): all that are, and of the others few, as long as the bitmap has room. It has
+    16 bits a row, but at most MOST_BITS, so it can go to every task; a join has the last word."""
+    bits = min(MOST_BITS, PAGE * max(1, -(-16 * rows.count() // PAGE)))
+    slot = lambda *key: F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
+    page, bit = lambda at: F.bitmap_bucket_number(at).alias("page"), lambda at: F.bitmap_bit_position(at).cast("int").alias("bit")
+    at = slot("d", "t")
+    pages = rows.select(page(at), bit(at)).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("seen"))
+    own = slot("doc_id", "th")
+    met = docs.withColumns({"page": page(own), "bit": bit(own)}).join(F.broadcast(pages), "page")
+    return met.filter("shiftright(cast(conv(hex(substring(seen, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) & 1 = 1").select(*docs.columns)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted classes, from the text of one row each."""
-    rows = classes.join(wanted.distinct(), "id").select("id", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    """(id, shingles) of the wanted classes, from the text of one row each. Texts that are not wanted are not sent."""
+    rows = checkpoint(classes.join(wanted.distinct(), "id").select("id", F.col("doc_id").alias("d"), F.col("th").alias("t")))
+    docs = _likely(docs, rows)
     # The wanted classes grow with the corpus, so this join shuffles at every size; it never turns into a broadcast.
     held = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", "text")
 
