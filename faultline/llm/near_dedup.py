@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 75
 TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 4096, 8
 #: A leaf's sets together hold at most so many shingles (32 MB), however long its documents are.
 LEAF_SHINGLES = 4_000_000
+#: Groups that share members become one, if it has at most so many, so that a set is sent once and not once for each of them.
+MERGED = 256
 #: Bits of a page of the bitmap of wanted rows, and of all its pages (16 MB).
 PAGE, MOST_BITS = 1 << 15, 1 << 27
 #: Least number of equal minwise tokens: five deviations under the mean at the threshold.
@@ -154,6 +156,22 @@ def _leaf_groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(gathered, connect, "members array<long>").withColumn("group", F.xxhash64("members")).dropDuplicates(["group", "members"])
 
 
+def _merged(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups that hang together by shared members as one group, as far as it stays small; it holds every pair of them. The
+    groups of larger ones stay as they are."""
+    own = groups.select("group", F.col("members")[0].alias("first"), F.explode("members").alias("id"))
+    linked = own.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    roots = connected(linked).withColumnRenamed("node", "id")
+    whole = checkpoint(roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct()))
+    held = whole.join(classes.select("id", F.col("n_shingles").alias("w")), "id").groupBy("root").agg(F.count("*").alias("n"), F.sum("w").alias("held"))
+    small = held.filter(f"n <= {MERGED} and held <= {LEAF_SHINGLES}").select("root")
+    as_one = whole.join(small, "root").groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("members")).select("members")
+    large = held.filter(f"n > {MERGED} or held > {LEAF_SHINGLES}").select("root")
+    # The root of a group is that of its first member.
+    as_before = groups.withColumn("id", F.col("members")[0]).join(whole, "id").join(large, "root", "left_semi").select("members")
+    return as_one.union(as_before).select("members", F.xxhash64("members").alias("group"))
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Exact intersection sizes of all pairs of sets: shingles that many sets hold as a product of 0/1 columns, others one by one."""
     n = len(sets)
@@ -182,7 +200,7 @@ def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = {"u": [], "v": []}
             for rows in batch["rows"]:
-                rows = sorted(rows, key=lambda r: r["id"])
+                rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
                 ids, shingles = [r["id"] for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows]
                 size, counts = np.array([len(s) for s in shingles], np.float64), common_counts(shingles)
                 part = np.arange(len(ids))
@@ -236,10 +254,13 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     held = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", "text")
 
     def shingles(batches):
+        # Repeats of a row are joined in one place; where Spark splits that, a class comes once per split, which does no harm.
+        seen = set()
         for batch in batches:
-            yield {"id": batch["id"], "shingles": [shingle_set(data).tobytes() for data in batch["text"]]}
+            new = [(i, data) for i, data in zip(batch["id"], batch["text"]) if i not in seen and not seen.add(i)]
+            yield {"id": [i for i, _ in new], "shingles": [shingle_set(data).tobytes() for _, data in new]}
 
-    return map_batches(held, shingles, "id long, shingles binary", binary=["text"]).dropDuplicates(["id"])
+    return map_batches(held, shingles, "id long, shingles binary", binary=["text"])
 
 
 def _empty(df: DataFrame) -> bool:
@@ -273,7 +294,7 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     level, links, sets = _sized(_roots(classes)), [], None
     while True:
         leaves, large = level.filter("leaf"), level.filter("not leaf")
-        groups = checkpoint(_leaf_groups(leaves, classes))
+        groups = checkpoint(_merged(checkpoint(_leaf_groups(leaves, classes)), classes))
         if sets is None:  # deeper levels hold no other classes
             sets = checkpoint(_sets(docs, classes, groups.select(F.explode("members").alias("id")).union(large.select("id"))))
         links.append(checkpoint(_group_links(groups, sets)))

@@ -27,3 +27,13 @@ def test_sets_are_made_of_wanted_texts_alone(spark, monkeypatch):
     assert sorted(r.id for r in sets.collect()) == list(range(0, 4_000, 40))
     assert sent[0].count() < 1_000
     assert all(r.shingles == near_dedup.shingle_set(f"some words of {r.id} and more".encode()).tobytes() for r in sets.collect())
+
+
+def test_groups_that_share_members_become_one_while_small(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MERGED", 5)
+    groups = [[1, 2], [2, 3], [1, 3, 4], [10, 11], [20, 21, 22], [22, 23, 24], [24, 25]]
+    rows = spark.createDataFrame([(g, i) for i, g in enumerate(groups)], "members array<long>, group long")
+    classes = spark.range(30).select("id", F.lit(10).cast("long").alias("n_shingles"))
+    found = sorted(r.members for r in near_dedup._merged(rows, classes).collect())
+    assert found == [[1, 2, 3, 4], [10, 11], [20, 21, 22], [22, 23, 24], [24, 25]]
+    assert near_dedup._merged(rows.limit(0), classes).count() == 0
