@@ -12,7 +12,7 @@ missed more often; the measured recall of planted pairs under ten levels is in t
 threshold, cost: of N of them, pairwise alike to J, about (2 J)^levels rows each until nodes are small.
 
 Agreement of the minwise tokens, sent as one byte each, drops only pairs that lie five deviations under the threshold (a byte may
-agree by chance, which keeps a pair more); every link is confirmed on the full sets. Links go between classes, copies are never expanded, and no class's links or sets pass through the driver.
+agree by chance, which keeps a pair more); every link is confirmed on the full sets. Links go between classes, copies are never expanded, and no class's links, texts or sets pass through the driver.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; fewer than five words are one shingle; a
 repeated row shares its class; a null doc_id takes part, but never names a component that has another id; extra columns are
@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 5, 75
 TREES, TOKENS, BRANCHES, LIMIT, PIVOTS = 10, 48, 2, 4096, 8
 #: A leaf's sets together hold at most so many shingles (32 MB), however long its documents are.
 LEAF_SHINGLES = 4_000_000
-#: Groups that share members become one, if it has at most so many, so that a set is sent once and not once for each of them.
+#: Groups that share members become one, if it has at most so many, so that a text is sent once and not once for each of them.
 MERGED = 256
 #: Bits of a page of the bitmap of wanted rows, and of all its pages (16 MB).
 PAGE, MOST_BITS = 1 << 15, 1 << 27
@@ -193,7 +193,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _group_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Links from each member to the first of its component within the group; every pair of a group is compared exactly."""
 
     def link(batches):
@@ -201,7 +201,7 @@ def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
             out = {"u": [], "v": []}
             for rows in batch["rows"]:
                 rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
-                ids, shingles = [r["id"] for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                ids, shingles = [r["id"] for r in rows], [shingle_set(r["text"]) for r in rows]
                 size, counts = np.array([len(s) for s in shingles], np.float64), common_counts(shingles)
                 part = np.arange(len(ids))
                 for i in range(1, len(ids)):
@@ -217,8 +217,8 @@ def _group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
                         out["v"].append(ids[p])
             yield out
 
-    rows = groups.withColumn("g", F.xxhash64("members", F.lit("g"))).select("g", F.explode("members").alias("id")).join(sets, "id")
-    return map_batches(rows.groupBy("g").agg(F.collect_list(F.struct("id", "shingles")).alias("rows")).select("rows"), link, "u long, v long")
+    rows = groups.withColumn("g", F.xxhash64("members", F.lit("g"))).select("g", F.explode("members").alias("id")).join(texts, "id")
+    return map_batches(rows.groupBy("g").agg(F.collect_list(F.struct("id", "text")).alias("rows")).select("rows"), link, "u long, v long")
 
 
 def _pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,21 +246,32 @@ def _likely(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return met.filter("shiftright(cast(conv(hex(substring(seen, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) & 1 = 1").select(*docs.columns)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted classes, from the text of one row each. Texts that are not wanted are not sent."""
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted classes, the text of one row each; others are not sent. The sets of a group are made from it
+    where they are compared: hashes do not compress, texts do."""
     rows = checkpoint(classes.join(wanted.distinct(), "id").select("id", F.col("doc_id").alias("d"), F.col("th").alias("t")))
     docs = _likely(docs, rows)
     # The wanted classes grow with the corpus, so this join shuffles at every size; it never turns into a broadcast.
-    held = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", "text")
+    held = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["d"]) & (docs["th"] == rows["t"])).select("id", F.col("text").cast("binary").alias("text"))
 
-    def shingles(batches):
+    def once(batches):
         # Repeats of a row are joined in one place; where Spark splits that, a class comes once per split, which does no harm.
         seen = set()
         for batch in batches:
             new = [(i, data) for i, data in zip(batch["id"], batch["text"]) if i not in seen and not seen.add(i)]
-            yield {"id": [i for i, _ in new], "shingles": [shingle_set(data).tobytes() for _, data in new]}
+            yield {"id": [i for i, _ in new], "text": [data for _, data in new]}
+
+    return map_batches(held, once, "id long, text binary")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the wanted classes, for members of large nodes, which meet several pivots at every level."""
+
+    def shingles(batches):
+        for batch in batches:
+            yield {"id": batch["id"], "shingles": [shingle_set(data).tobytes() for data in batch["text"]]}
 
-    return map_batches(held, shingles, "id long, shingles binary", binary=["text"])
+    return map_batches(_texts(docs, classes, wanted), shingles, "id long, shingles binary")
 
 
 def _empty(df: DataFrame) -> bool:
@@ -291,15 +302,17 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): the component of every class that is linked to another one, named by its least class id."""
-    level, links, sets = _sized(_roots(classes)), [], None
+    level, links, texts, sets = _sized(_roots(classes)), [], None, None
     while True:
         leaves, large = level.filter("leaf"), level.filter("not leaf")
         groups = checkpoint(_merged(checkpoint(_leaf_groups(leaves, classes)), classes))
-        if sets is None:  # deeper levels hold no other classes
-            sets = checkpoint(_sets(docs, classes, groups.select(F.explode("members").alias("id")).union(large.select("id"))))
-        links.append(checkpoint(_group_links(groups, sets)))
+        if texts is None:  # deeper levels hold no other classes
+            texts = checkpoint(_texts(docs, classes, groups.select(F.explode("members").alias("id")).union(large.select("id"))))
+        links.append(checkpoint(_group_links(groups, texts)))
         if _empty(large):
             break
+        if sets is None:
+            sets = checkpoint(_sets(docs, classes, large.select("id")))
         rows = _sized(_relabelled(large, _labels(links)))
         sketched = checkpoint(rows.join(_sketches(classes), "id").select("node", "id", "label", "sketch"))
         pivots = checkpoint(_pivots(sketched))

@@ -37,3 +37,14 @@ def test_groups_that_share_members_become_one_while_small(spark, monkeypatch):
     found = sorted(r.members for r in near_dedup._merged(rows, classes).collect())
     assert found == [[1, 2, 3, 4], [10, 11], [20, 21, 22], [22, 23, 24], [24, 25]]
     assert near_dedup._merged(rows.limit(0), classes).count() == 0
+
+
+def test_groups_are_compared_from_texts_and_hashes_are_not_sent(spark, monkeypatch):
+    near_dedup.prepare(spark)
+    same = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, same), (2, f"{same} end"), (3, "quite another text of seven words"), (4, None), (None, f"END {same}")], "doc_id long, text string")
+    seen, link = [], near_dedup._group_links
+    monkeypatch.setattr(near_dedup, "_group_links", lambda groups, texts: seen.append(texts.columns) or link(groups, texts))
+    monkeypatch.setattr(near_dedup, "_sets", lambda *a: seen.append("sets"))   # no node is large here
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, None: 1} and seen == [["id", "text"]]
